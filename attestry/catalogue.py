@@ -1,0 +1,4 @@
+"""The registered queries of the library and their SQL equivalents."""
+
+QUERIES: dict = {}
+ORACLES: dict = {}
