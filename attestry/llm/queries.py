@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import decontamination, language_id, license_scan, secret_scan
 from ._spark import load
 from .mixing import mix_plan
 from .quality_rules import quality_rules
@@ -14,6 +15,64 @@ from .quality_rules import quality_rules
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents")
+    held = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+    found = language_id.identify(docs, docs.filter(~F.coalesce(held, F.lit(False))), per_lang=400)
+    return found.select("doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), "lang_pred", "score", "rejected")
+
+
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_scan.scan_licenses(load(spark, sf_dir, "documents"))
+    base = F.array_sort(F.array_distinct(F.col("base.label")))
+    every = F.array_sort(F.array_distinct(F.concat("base.label", "spans.label")))
+    return found.select(
+        "doc_id", "n_words", F.size("base").cast("long").alias("n_base"),
+        F.array_min("base.first_word").cast("long").alias("first_word"), F.array_max("base.first_word").cast("long").alias("last_word"),
+        F.array_join(base, ",").alias("base_labels"), F.array_join(every, ",").alias("labels"),
+        F.when(F.size("base") > 0, 1.0).otherwise(F.coalesce(F.array_max("spans.similarity"), F.lit(0.0))).alias("score"),
+    )
+
+
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontamination.find_contamination(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"), window=10, k=5)
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
+#: Windows of items found in documents, as word sequences joined by spaces.
+OP3_SQL = r"""
+WITH dw AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+iw AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+iwin AS (SELECT DISTINCT item_id, least(len(w), 10) AS n, array_to_string(w[i:i + least(len(w), 10) - 1], ' ') AS g
+         FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM iw WHERE len(w) > 0)),
+dwin AS (SELECT doc_id, i, n, array_to_string(w[i:i + n - 1], ' ') AS g
+         FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM dw, (SELECT DISTINCT n FROM iwin) WHERE len(w) >= n)),
+hit AS (SELECT doc_id, i, dwin.n, item_id FROM dwin JOIN iwin USING (n, g)),
+cov AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM (SELECT DISTINCT doc_id, i, n FROM hit)) GROUP BY doc_id),
+its AS (SELECT doc_id, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS l FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS s FROM hit) GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       sha256(coalesce(l, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM dw LEFT JOIN cov USING (doc_id) LEFT JOIN its USING (doc_id)
+"""
+
+
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.scan_secrets(load(spark, sf_dir, "documents"))
+    kinds = [r.kind for r in secret_scan.BASE]
+
+    def many(kind: str):
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    def text(spans):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+    base = F.filter("spans", lambda s: s["kind"].isin(kinds))
+    return found.select("doc_id", *[many(k) for k in kinds], F.sha2(text(base), 256).alias("base_sha256"), text(F.col("spans")).alias("spans"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(load(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
@@ -68,5 +127,12 @@ SELECT doc_id, size, source_size, round(target, 3) AS target,
 FROM e
 """
 
-QUERIES: dict[str, Query] = {"op4_quality_rules": op4_quality_rules, "op8_mixing": op8_mixing}
-ORACLES: dict[str, str] = {"op4_quality_rules": OP4_SQL, "op8_mixing": OP8_SQL}
+QUERIES: dict[str, Query] = {
+    "op1_language_id": op1_language_id,
+    "op2_license_scan": op2_license_scan,
+    "op3_decontamination": op3_decontamination,
+    "op4_quality_rules": op4_quality_rules,
+    "op6_secret_scan": op6_secret_scan,
+    "op8_mixing": op8_mixing,
+}
+ORACLES: dict[str, str] = {"op3_decontamination": OP3_SQL, "op4_quality_rules": OP4_SQL, "op8_mixing": OP8_SQL}
