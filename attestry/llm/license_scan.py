@@ -2,7 +2,7 @@
 
 Texts are lower-cased (A-Z), cut into words of digits, letters and non-ASCII characters, and the words joined by one space. A
 notice that may be off by ``e`` edits is split into ``e + 1`` pieces: whatever the edits, one piece stands unchanged (pigeonhole).
-One Aho-Corasick pass over the text finds all pieces of all notices; around each, the regex library's bounded-error matching
+Exact searches for all pieces give the candidate places; around each, the regex library's bounded-error matching
 verifies the notice with at most ``e`` edits and gives its span. Phrases of the base set are places of exact words.
 
 Defined cases: null reads as empty, no words and no spans; overlapping places all count; repeated rows are scanned alike; long
@@ -13,7 +13,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import ahocorasick
 import numpy as np
 import pyarrow as pa
 import regex
@@ -53,8 +52,9 @@ _NORMAL = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or chr(c).isalnum() e
 SPANS = pa.list_(pa.struct([("label", pa.string()), ("first_word", pa.int32()), ("words", pa.int32()), ("edits", pa.int32()), ("similarity", pa.float64())]))
 
 
-def edits_allowed(notice: str, rate: float) -> int:
-    return int(len(notice) * rate)
+def edits_allowed(notice: str, rate: float, most: int = 4) -> int:
+    """Edits grow with a notice's length up to ``most``, beyond which bounded-error matching gets slow."""
+    return min(most, int(len(notice) * rate))
 
 
 class Scanner:
@@ -62,17 +62,14 @@ class Scanner:
         self.base = [(phrase.encode(), label, regex.compile(rb"(?<![^ ])" + phrase.encode() + rb"(?![^ ])")) for phrase, label in base.items()]
         self.last_words = sorted({phrase.encode().split()[-1] for phrase in base})
         self.notices = []
-        self.pieces = ahocorasick.Automaton()
-        where: dict[str, list[tuple[int, int]]] = {}
+        where: dict[bytes, list[tuple[int, int]]] = {}
         for i, (label, notice) in enumerate(notices):
             e = edits_allowed(notice, rate)
             self.notices.append((label, notice, e, regex.compile(rf"(?b)(?:{regex.escape(notice)}){{e<={e}}}")))
             cuts = [len(notice) * j // (e + 1) for j in range(e + 2)]
             for a, b in zip(cuts, cuts[1:], strict=False):
-                where.setdefault(notice[a:b], []).append((i, a))
-        for piece, at in where.items():
-            self.pieces.add_word(piece, (len(piece), at))
-        self.pieces.make_automaton()
+                where.setdefault(notice[a:b].encode(), []).append((i, a))
+        self.pieces = list(where.items())
 
     def scan(self, text: str) -> tuple[int, list[tuple[int, str]], list[dict]]:
         """Words, base places as (first word, label), spans of notices."""
@@ -83,17 +80,24 @@ class Scanner:
             for phrase, label, pattern in self.base:
                 if phrase in joined:
                     places += [(joined.count(b" ", 0, m.start()), label) for m in pattern.finditer(joined, overlapped=True)]
-        # one byte a character, so that places are places of bytes; pieces are ASCII
-        seen = joined.decode("latin-1")
         near: dict[int, list[int]] = {}
-        for end, (length, at) in self.pieces.iter(seen):
-            for i, offset in at:
-                near.setdefault(i, []).append(end - length + 1 - offset)
+        for piece, at in self.pieces:
+            found = joined.find(piece)
+            while found >= 0:
+                for i, offset in at:
+                    near.setdefault(i, []).append(found - offset)
+                found = joined.find(piece, found + 1)
+        # one byte a character, so that places are places of bytes; notices are ASCII
+        seen = joined.decode("latin-1") if near else ""
         spans = []
         for i, begins in near.items():
             label, notice, e, pattern = self.notices[i]
             found = set()
             for lo, hi in _ranges(sorted(begins), len(notice), e, len(seen)):
+                exact = seen.find(notice, lo, hi)
+                if exact >= 0 and hi - lo <= len(notice) + 4 * e:  # one place only fits in here
+                    found.add((exact, exact + len(notice), 0))
+                    continue
                 for m in pattern.finditer(seen, lo, hi):
                     found.add((m.start(), m.end(), sum(m.fuzzy_counts)))
             for a, b, edits in sorted(found):
@@ -130,7 +134,7 @@ def _ranges(begins: list[int], length: int, e: int, n: int) -> Iterator[tuple[in
 
 def scan_licenses(docs: DataFrame, text: str = "text", key: str = "doc_id", base: dict[str, str] = BASE, notices: tuple[tuple[str, str], ...] = NOTICES, edit_rate: float = 0.1) -> DataFrame:
     """One row per row of ``docs``: key, n_words, base (array of first_word and label), spans (notices with at most ``edit_rate``
-    edits a character)."""
+    edits a character, four at most)."""
     rows = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"))
     place = pa.list_(pa.struct([("first_word", pa.int32()), ("label", pa.string())]))
 
