@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, language_id, license_scan, secret_scan
+from . import decontamination, jaccard_join, language_id, license_scan, secret_scan
 from ._spark import load
 from .mixing import mix_plan
 from .quality_rules import quality_rules
@@ -127,6 +127,11 @@ SELECT doc_id, size, source_size, round(target, 3) AS target,
 FROM e
 """
 
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = jaccard_join.classes(load(spark, sf_dir, "documents"), k=4, p=85, q=100)
+    return found.select("doc_id", "n_shingles", "component_id")
+
+
 QUERIES: dict[str, Query] = {
     "op1_language_id": op1_language_id,
     "op2_license_scan": op2_license_scan,
@@ -134,5 +139,6 @@ QUERIES: dict[str, Query] = {
     "op4_quality_rules": op4_quality_rules,
     "op6_secret_scan": op6_secret_scan,
     "op8_mixing": op8_mixing,
+    "op10_jaccard_join": op10_jaccard_join,
 }
 ORACLES: dict[str, str] = {"op3_decontamination": OP3_SQL, "op4_quality_rules": OP4_SQL, "op8_mixing": OP8_SQL}
