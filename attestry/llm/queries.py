@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, jaccard_join, language_id, license_scan, secret_scan
-from ._spark import load
+from . import decontamination, jaccard_join, language_id, license_scan, pii_surrogates, secret_scan, sharding
+from ._spark import load, shared_dir
 from .mixing import mix_plan
 from .quality_rules import quality_rules
 
@@ -132,13 +133,25 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id")
 
 
+def op7_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = pii_surrogates.replace_pii(load(spark, sf_dir, "documents"))
+    return done.select("doc_id", "text", "n_entities", F.array_join("kinds", ",").alias("kinds"))
+
+
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store = sharding.shard(load(spark, sf_dir, "documents"), f"{shared_dir(spark)}/attestry-shards-{uuid.uuid4().hex}", arrivals=2)
+    return store.places("doc_id")
+
+
 QUERIES: dict[str, Query] = {
     "op1_language_id": op1_language_id,
     "op2_license_scan": op2_license_scan,
     "op3_decontamination": op3_decontamination,
     "op4_quality_rules": op4_quality_rules,
     "op6_secret_scan": op6_secret_scan,
+    "op7_pii_surrogates": op7_pii_surrogates,
     "op8_mixing": op8_mixing,
+    "op9_sharding": op9_sharding,
     "op10_jaccard_join": op10_jaccard_join,
 }
 ORACLES: dict[str, str] = {"op3_decontamination": OP3_SQL, "op4_quality_rules": OP4_SQL, "op8_mixing": OP8_SQL}
