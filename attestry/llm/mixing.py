@@ -41,8 +41,10 @@ def targets(sized: DataFrame, weights: tuple[int, ...], share: float, cap: float
         .withColumn("all_weight", F.sum("weight").over(every))
         .withColumn("level", (F.col("total") - F.coalesce(F.sum(most).over(fill), F.lit(0.0))) / (F.col("all_weight") - F.coalesce(F.sum("weight").over(fill), F.lit(0.0))))
     )
-    # a source is capped as long as its ratio is not above the level left to it and the later ones; the first that is not sets the level
-    per = per.withColumn("water", F.min(F.when(F.col("ratio") > F.col("level"), F.col("level"))).over(every))
+    # a source is capped as long as its ratio is not above the level left to it and the later ones; the first that is above sets the level
+    per = per.withColumn("place", F.row_number().over(W.orderBy(F.col("ratio"), F.col("source").asc_nulls_last())))
+    above = F.col("ratio") > F.col("level")
+    per = per.withColumn("water", F.min_by("level", F.when(above, F.col("place"))).over(every))
     return per.select("source", "source_size", F.when(F.col("water").isNull(), most).otherwise(F.least(most, F.col("water") * F.col("weight"))).alias("target"))
 
 

@@ -134,9 +134,9 @@ s AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER
 w AS (SELECT source, source_size, 2.0 * source_size AS cap, [3.0, 1.0, 2.0][1 + (r - 1) % 3] AS weight FROM s),
 l AS (SELECT a.source, a.source_size, a.cap, a.weight, a.cap / a.weight AS ratio,
              (SELECT 1.5 * sum(source_size) FROM w) AS total,
-             coalesce(sum(a.cap) OVER f, 0) AS done, (SELECT sum(weight) FROM w) - coalesce(sum(a.weight) OVER f, 0) AS left_weight
+             row_number() OVER (ORDER BY a.cap / a.weight, a.source NULLS LAST) AS place, coalesce(sum(a.cap) OVER f, 0) AS done, (SELECT sum(weight) FROM w) - coalesce(sum(a.weight) OVER f, 0) AS left_weight
       FROM w a WINDOW f AS (ORDER BY a.cap / a.weight, a.source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-v AS (SELECT min(CASE WHEN ratio > (total - done) / left_weight THEN (total - done) / left_weight END) AS water FROM l),
+v AS (SELECT arg_min((total - done) / left_weight, place) FILTER (ratio > (total - done) / left_weight) AS water FROM l),
 t AS (SELECT source, source_size, CASE WHEN water IS NULL THEN cap ELSE least(cap, water * weight) END AS target FROM w, v),
 q AS (SELECT d.*, source_size, target, coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
       FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),

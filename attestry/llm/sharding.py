@@ -9,8 +9,8 @@ made it) under a temporary name and renamed to ``v<number>``: readers see the wh
 writer's files are in no manifest, and of two writers of one version the later rename fails. Files are only ever added;
 :meth:`ShardStore.vacuum` deletes what no kept version names.
 
-Defined cases: rows are kept as they are, nulls, repeated rows and texts of any length; an empty arrival commits a version without
-new shards; equal file sizes merge in path order; columns are those of the first arrival.
+Defined cases: rows are kept as they are, nulls, repeated rows and texts of any length; an empty arrival commits a shard
+without rows; equal file sizes merge in path order; columns are those of the first arrival.
 """
 
 from __future__ import annotations
@@ -82,8 +82,9 @@ class ShardStore:
     def _written(self, folder: str, version: int) -> list[Shard]:
         status = [s for s in self._fs.listStatus(self._path(folder)) if s.getPath().getName().endswith(".parquet")]
         sizes = {s.getPath().getName(): s.getLen() for s in status}
-        counts = self.spark.read.parquet(folder).groupBy(F.col("_metadata.file_name").alias("name")).agg(F.count(F.lit(1)).alias("n")).collect() if sizes else []
-        return [Shard(f"{folder}/{r['name']}", r["n"], sizes[r["name"]], self.tier(sizes[r["name"]]), version) for r in counts]
+        counts = self.spark.read.parquet(folder).groupBy(F.col("_metadata.file_name").alias("name")).agg(F.count(F.lit(1)).alias("n")).collect()
+        rows = {r["name"]: r["n"] for r in counts}
+        return [Shard(f"{folder}/{n}", rows.get(n, 0), size, self.tier(size), version) for n, size in sizes.items()]
 
     def append(self, docs: DataFrame) -> int:
         """Commit ``docs`` as new small shards; the new version."""
