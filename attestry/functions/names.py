@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Words that end company names, and the legal ones among them.
 LEGAL_SUFFIXES = (r"Incorporated", r"Limited", r"Inc\.?", r"Ltd\.?", r"Co\.?", r"LLC", r"GmbH", r"S\.?A\.?", r"s\.?p\.?a\.?")
@@ -21,13 +22,13 @@ def fold_ascii(name: Column) -> Column:
     return F.trim(F.regexp_replace(spaced, r"^(?:the|a|an)\s+", ""))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def compatible(text: pd.Series) -> pd.Series:
     """NFKC and case folding, which Spark has no function for."""
     return text.map(lambda s: None if s is None else unicodedata.normalize("NFKC", s).casefold())
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def without_marks(text: pd.Series) -> pd.Series:
     """Letters without their diacritics."""
     return text.map(lambda s: None if s is None else "".join(c for c in unicodedata.normalize("NFD", s) if not unicodedata.combining(c)))

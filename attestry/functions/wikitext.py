@@ -7,6 +7,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def _template_at(text: str, begin: int) -> int:
@@ -42,14 +43,14 @@ def _fields(text: str | None, name: str) -> dict[str, str] | None:
 def template_fields(text: Column, name: str) -> Column:
     """Fields of the first template of a name (map, null where there is none); fields may hold templates and links."""
 
-    @F.pandas_udf("map<string,string>")
+    @F.pandas_udf(T.MapType(T.StringType(), T.StringType()))
     def parse(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: _fields(t, name))
 
     return parse(text)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def without_templates(text: pd.Series) -> pd.Series:
     """Text outside all templates; one that never closes stays."""
 

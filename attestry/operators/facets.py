@@ -93,13 +93,17 @@ def counts(docs: DataFrame, dimensions: list[Dimension], state: FilterState, cou
     by, bits = {d.name: d for d in dimensions}, list(state.chosen)
     mask = reduce(lambda a, b: a + b, [F.when(t, 1 << bits.index(n)).otherwise(0) for n, t in tests(dimensions, state).items()], F.lit(0))
     full = (1 << len(bits)) - 1
+
+    def named(name: str):
+        return lambda v: F.struct(F.lit(name).alias("dimension"), v.alias("value"))
+
     pairs = []
     for name in counted:
         column = (bucket or {}).get(name, F.col(by[name].column))
         need = full & ~(1 << bits.index(name)) if name in bits else full
         array = by[name].kind in ("any", "all")
         values = F.array_distinct(F.transform(column, lambda x: x.cast("string"))) if array else F.array(column.cast("string"))
-        pairs.append(F.when(F.col("_mask").bitwiseAND(need) == need, F.transform(F.filter(values, lambda x: x.isNotNull()), lambda v, n=name: F.struct(F.lit(n).alias("dimension"), v.alias("value")))))
+        pairs.append(F.when(F.col("_mask").bitwiseAND(need) == need, F.transform(F.filter(values, lambda x: x.isNotNull()), named(name))))
     spread = docs.withColumn("_mask", mask).select(F.explode(F.flatten(F.filter(F.array(*pairs), lambda x: x.isNotNull()))).alias("p"))
     return spread.groupBy("p.dimension", "p.value").agg(F.count(F.lit(1)).alias("n"))
 

@@ -54,10 +54,12 @@ def dictionary_matches(texts: DataFrame, text: str, terms: DataFrame, term: str)
     words = F.filter(F.split(F.lower(F.col(text)), r"[^\p{L}\p{N}]+"), lambda w: w != "")
     vocabulary = terms.select(F.col(term), F.array_join(F.filter(F.split(F.lower(F.col(term)), r"[^\p{L}\p{N}]+"), lambda w: w != ""), " ").alias("_key")).filter("_key <> ''")
     lengths = [r[0] for r in vocabulary.select(F.size(F.split("_key", " ")).alias("n")).distinct().collect()]
-    grams = [
-        F.when(F.size("_w") >= n, F.transform(F.sequence(F.lit(1), F.size("_w") - n + 1), lambda i, n=n: F.array_join(F.slice("_w", i, n), " "))).otherwise(F.array().cast("array<string>"))
-        for n in sorted(lengths)
-    ]
+
+    def grams_of(n: int) -> Column:
+        grams = F.transform(F.sequence(F.lit(1), F.size("_w") - n + 1), lambda i: F.array_join(F.slice("_w", i, n), " "))
+        return F.when(F.size("_w") >= n, grams).otherwise(F.array().cast("array<string>"))
+
+    grams = [grams_of(n) for n in sorted(lengths)]
     if not grams:
         return texts.limit(0).join(terms.limit(0), F.lit(True), "inner")
     rows = texts.withColumn("_w", words).withColumn("_key", F.explode(F.array_distinct(F.flatten(F.array(*grams))))).drop("_w")

@@ -24,13 +24,13 @@ def exists(spark: SparkSession, path: str) -> bool:
     return bool(p.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(p))
 
 
-MACHINES = T.StructType.fromDDL(
+MACHINES = (
     "IpdbId int, Title string, Players int, Manufacturer string, ManufacturerShortName string, ManufacturerId int, Type string, TypeShortName string, DateOfManufacture string, "
     "Theme string, AverageFunRating double, ModelNumber string, ProductionNumber string, NotableFeatures string, Notes string, Toys string, MarketingSlogans string, "
     "CommonAbbreviations string, MPU string, ImageFiles array<struct<Url:string,Name:string>>, DesignBy string, ArtBy string, DotsAnimationBy string, MechanicsBy string, MusicBy string, "
     "SoundBy string, SoftwareBy string"
 )
-OPEN_MACHINES = T.StructType.fromDDL(
+OPEN_MACHINES = (
     "opdb_id string, is_machine boolean, is_alias boolean, name string, common_name string, shortname string, physical_machine int, ipdb_id int, manufacture_date string, type string, "
     "display string, player_count int, features array<string>, keywords array<string>, description string, "
     "manufacturer struct<manufacturer_id:int,name:string,full_name:string,created_at:string,updated_at:string>, "
@@ -44,10 +44,11 @@ def snake(name: str) -> str:
 
 def wrapped_machines(spark: SparkSession, path: str, required: str = "IpdbId") -> DataFrame:
     """Rows under ``Data`` of one JSON document, snake-case columns with '' for missing texts. A row without the required key aborts."""
-    rows = spark.read.schema(T.StructType([T.StructField("Data", T.ArrayType(MACHINES))])).option("multiLine", True).json(path).select(F.inline("Data"))
+    machine = spark.createDataFrame([], MACHINES).schema
+    rows = spark.read.schema(T.StructType([T.StructField("Data", T.ArrayType(machine))])).option("multiLine", True).json(path).select(F.inline("Data"))
     if not rows.filter(F.col(required).isNull()).isEmpty():
         raise DriftError(f"{path}: rows without {required}")
-    return rows.select(*[(F.coalesce(f.name, F.lit("")) if f.dataType == T.StringType() else F.col(f.name)).alias(snake(f.name)) for f in MACHINES])
+    return rows.select(*[(F.coalesce(f.name, F.lit("")) if f.dataType == T.StringType() else F.col(f.name)).alias(snake(f.name)) for f in machine])
 
 
 def machine_array(spark: SparkSession, path: str) -> DataFrame:
