@@ -47,22 +47,29 @@ def near_duplicates(people: DataFrame, works: DataFrame, id_: str, name: Column,
     return a.join(b, same).select(F.col(f"a.{id_}").alias("left_id"), F.col(f"b.{id_}").alias("right_id")).distinct()
 
 
-def dictionary_matches(texts: DataFrame, text: str, terms: DataFrame, term: str) -> DataFrame:
+def dictionary_matches(texts: DataFrame, text: str, terms: DataFrame, term: str, most_terms: int = 10_000) -> DataFrame:
     """(row of texts, term) for terms of words that stand in the text, whatever the case.
 
-    Instead of trying every term on every text, the word n-grams of a text (of the lengths that terms have) are joined to the terms."""
+    Instead of trying every term on every text, the word n-grams of a text (of the lengths that terms have) are joined to the terms.
+    Up to ``most_terms`` terms (counted first), n-grams that are no term are dropped before a row is spread over its n-grams."""
     words = F.filter(F.split(F.lower(F.col(text)), r"[^\p{L}\p{N}]+"), lambda w: w != "")
     vocabulary = terms.select(F.col(term), F.array_join(F.filter(F.split(F.lower(F.col(term)), r"[^\p{L}\p{N}]+"), lambda w: w != ""), " ").alias("_key")).filter("_key <> ''")
     lengths = [r[0] for r in vocabulary.select(F.size(F.split("_key", " ")).alias("n")).distinct().collect()]
 
     def grams_of(n: int) -> Column:
+        if n == 1:
+            return F.col("_w")
         grams = F.transform(F.sequence(F.lit(1), F.size("_w") - n + 1), lambda i: F.array_join(F.slice("_w", i, n), " "))
         return F.when(F.size("_w") >= n, grams).otherwise(F.array().cast("array<string>"))
 
     grams = [grams_of(n) for n in sorted(lengths)]
     if not grams:
         return texts.limit(0).join(terms.limit(0), F.lit(True), "inner")
-    rows = texts.withColumn("_w", words).withColumn("_key", F.explode(F.array_distinct(F.flatten(F.array(*grams))))).drop("_w")
+    found = F.array_distinct(F.flatten(F.array(*grams)))
+    known = [r[0] for r in vocabulary.select("_key").distinct().limit(most_terms + 1).collect()]
+    if len(known) <= most_terms:
+        found = F.array_intersect(F.flatten(F.array(*grams)), F.lit(known))
+    rows = texts.withColumn("_w", words).withColumn("_key", F.explode(found)).drop("_w")
     return rows.join(vocabulary, "_key").drop("_key")
 
 
