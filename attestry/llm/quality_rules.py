@@ -86,9 +86,10 @@ def shrunk(hosts: DataFrame) -> Column:
     return (F.col("_k") + mean * strength) / (F.col("_n") + strength)
 
 
-def judged(ruled: DataFrame, host: str, bad_host_rate: float) -> DataFrame:
-    """Adds host_rate and kept to staged rows that have the flags; hosts join null-safely, the skew of a hot host is Spark's to split."""
-    out = ruled.join(host_rates(ruled, host), F.col(host).eqNullSafe(F.col("_host")), "left").drop("_host")
+def judged(ruled: DataFrame, host: str, bad_host_rate: float, rates: DataFrame | None = None) -> DataFrame:
+    """Adds host_rate and kept to staged rows that have the flags; hosts join null-safely, the skew of a hot host is Spark's to split.
+    ``rates`` are the hosts' rates, from the rows themselves unless given."""
+    out = ruled.join(host_rates(ruled, host) if rates is None else rates, F.col(host).eqNullSafe(F.col("_host")), "left").drop("_host")
     out = out.withColumnRenamed("_host_rate", "host_rate")
     return out.withColumn("kept", ~F.col("base_failed") & ~(F.col("soft_failed") & (F.col("host_rate") > bad_host_rate)))
 
@@ -105,4 +106,7 @@ def keep_good(docs: DataFrame, host: str = "source", text: str = "text", bad_hos
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
     measured = measures(docs.select(row, F.col(f"`{host}`").alias("_of"), F.col(f"`{text}`").alias("_text")), "_text")
     ruled = measured.withColumns(flags(**limits)).select("_row", "_of", "base_failed", "soft_failed")
-    return judged(stage(ruled, "quality"), "_of", bad_host_rate).filter("kept").select("_row.*")
+    ruled = stage(ruled, "quality")
+    # only soft failures ask for their host's verdict; no other text is joined
+    doubtful = judged(ruled.filter("soft_failed AND NOT base_failed"), "_of", bad_host_rate, host_rates(ruled, "_of")).filter("kept")
+    return ruled.filter("NOT soft_failed AND NOT base_failed").select("_row.*").unionByName(doubtful.select("_row.*"))
