@@ -301,9 +301,13 @@ def classes(docs: DataFrame, k: int = 5, p: int = 80, q: int = 100, lower: bool
 
 
 def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id", **options) -> DataFrame:
-    """One row of each class, the one with the smallest key, with the columns of ``docs``."""
+    """One row of each class, the one with the smallest key, with the columns of ``docs``. Texts are shuffled once: both the join and
+    the choice among repeated rows go by the same two columns."""
+
+    def named(id_, content):
+        return [F.coalesce(id_.cast("string"), F.lit("")).alias("_id"), F.xxhash64(id_, content).alias("_hash")]
+
     kept = classes(docs, text=text, key=key, **options).filter(F.col(key).eqNullSafe(F.col("component_id")))
-    kept = kept.select(F.col(key).alias("_key"), F.col("content").alias("_content")).distinct()
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(f"`{key}`").alias("_id"), F.xxhash64(F.col(f"`{text}`")).alias("_hash"))
-    chosen = rows.join(kept, F.col("_id").eqNullSafe(F.col("_key")) & (F.col("_hash") == F.col("_content")), "left_semi")
-    return chosen.dropDuplicates(["_id", "_hash"]).select("_row.*")
+    kept = kept.select(*named(F.col(key), F.col("content"))).distinct()
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), *named(F.col(f"`{key}`"), F.xxhash64(F.col(f"`{text}`"))))
+    return rows.join(kept, ["_id", "_hash"], "left_semi").dropDuplicates(["_id", "_hash"]).select("_row.*")
