@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -34,6 +35,7 @@ def release(spark: SparkSession, *tables: DataFrame) -> None:
     for t in tables:
         path = jvm.org.apache.hadoop.fs.Path(t._attestry_path)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    gc.collect()  # finished plans that Python still holds would keep their shuffle files
     jvm.System.gc()
 
 

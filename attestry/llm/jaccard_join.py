@@ -264,9 +264,12 @@ def classes(docs: DataFrame, k: int = 5, p: int = 80, q: int = 100, lower: bool
     spark = docs.sparkSession
     rows = docs.select(F.col(f"`{key}`").alias("key"), F.xxhash64(F.col(f"`{text}`")).alias("content"), F.col(f"`{text}`").alias("text"))
     more = T.StructType.fromDDL("n bigint, node bigint, keys array<bigint>")
-    known = stage(rows.mapInArrow(lambda b: _nodes(b, k, lower, p, q), T.StructType([rows.schema["key"], rows.schema["content"], *more])), "nodes")
-    keyed = known.select(F.explode("keys").alias("k"), "node").repartition("k").sortWithinPartitions("k", "node")
+    raw = stage(rows.mapInArrow(lambda b: _nodes(b, k, lower, p, q), T.StructType([rows.schema["key"], rows.schema["content"], *more])), "keys")
+    known = stage(raw.drop("keys"), "nodes")
+    keyed = raw.select(F.explode("keys").alias("k"), "node").repartition("k").sortWithinPartitions("k", "node")
     chains = stage(keyed.mapInArrow(_chains, "a bigint, b bigint").distinct(), "chains")
+    del keyed
+    release(spark, raw)
     near = stage(components(chains), "near")
     release(spark, chains)
 
