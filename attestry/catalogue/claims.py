@@ -186,7 +186,17 @@ def claim_key_build(spark, d):
 
 @query("""SELECT l_orderkey, l_partkey, '{"count":' || max(l_quantity)::INT || ',"exists":true,"part":' || l_partkey || '}' AS value, 'line|part:' || l_partkey AS claim_key FROM lineitem WHERE l_quantity > 45 GROUP BY 1, 2""")
 def relationship_claims(spark, d):
-    rows = table(spark, d, "lineitem").filter("l_quantity > 45").groupBy("l_orderkey", "l_partkey").agg(F.max("l_quantity").cast("int").alias("q"))
+    """Only lines of quantity above 45; :func:`relationship_claims_all` takes every line."""
+    return _relationship_claims(table(spark, d, "lineitem").filter("l_quantity > 45"))
+
+
+@query("""SELECT l_orderkey, l_partkey, '{"count":' || max(l_quantity)::INT || ',"exists":true,"part":' || l_partkey || '}' AS value, 'line|part:' || l_partkey AS claim_key FROM lineitem GROUP BY 1, 2""")
+def relationship_claims_all(spark, d):
+    return _relationship_claims(table(spark, d, "lineitem"))
+
+
+def _relationship_claims(lines):
+    rows = lines.groupBy("l_orderkey", "l_partkey").agg(F.max("l_quantity").cast("int").alias("q"))
     key, value = C.relationship_claim("line", {"part": F.col("l_partkey")}, True, {"count": F.col("q")})
     return rows.select("l_orderkey", "l_partkey", value.alias("value"), key.alias("claim_key"))
 

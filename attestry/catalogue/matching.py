@@ -16,9 +16,23 @@ m AS (SELECT r.*, (SELECT min(p_partkey) FROM t WHERE t.p_partkey = r.l_partkey)
 SELECT k, ln, l_partkey, coalesce(a, b, c) AS target, CASE WHEN a IS NOT NULL THEN 'id' WHEN b IS NOT NULL THEN 'code' WHEN c IS NOT NULL THEN 'name' END AS match_type FROM m"""
 )
 def cascade_match(spark, d):
+    """Only lines of quantity 50; :func:`cascade_match_all` takes every line."""
+    return _cascade(spark, d, "l_quantity = 50")
+
+
+@query(
+    """WITH t AS (SELECT p_partkey, p_name, p_brand || ':' || p_size AS code FROM part WHERE p_partkey % 2 = 0), tc AS (SELECT code, min(p_partkey) AS b FROM t GROUP BY 1), tn AS (SELECT p_name, min(p_partkey) AS c FROM t GROUP BY 1),
+m AS (SELECT l_orderkey AS k, l_linenumber AS ln, l_partkey, t.p_partkey AS a, b, c FROM lineitem JOIN part p ON l_partkey = p.p_partkey LEFT JOIN t ON t.p_partkey = l_partkey LEFT JOIN tc ON tc.code = p.p_brand || ':' || p.p_size LEFT JOIN tn ON tn.p_name = p.p_name)
+SELECT k, ln, l_partkey, coalesce(a, b, c) AS target, CASE WHEN a IS NOT NULL THEN 'id' WHEN b IS NOT NULL THEN 'code' WHEN c IS NOT NULL THEN 'name' END AS match_type FROM m"""
+)
+def cascade_match_all(spark, d):
+    return _cascade(spark, d, "true")
+
+
+def _cascade(spark, d, lines):
     li, p = tables(spark, d, "lineitem", "part")
     code = F.concat_ws(":", "p_brand", F.col("p_size").cast("string"))
-    rows = li.filter("l_quantity = 50").join(p, F.col("l_partkey") == F.col("p_partkey")).select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("ln"), "l_partkey", "p_name", code.alias("code"))
+    rows = li.filter(lines).join(p, F.col("l_partkey") == F.col("p_partkey")).select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("ln"), "l_partkey", "p_name", code.alias("code"))
     targets = p.filter("p_partkey % 2 = 0").select(F.col("p_partkey").alias("target"), F.col("p_name").alias("t_name"), code.alias("t_code"))
     keys = [("id", F.col("l_partkey"), F.col("target")), ("code", F.col("code"), F.col("t_code")), ("name", F.col("p_name"), F.col("t_name"))]
     return M.cascade(rows, targets, keys, "target").select("k", "ln", "l_partkey", "target", "match_type")
@@ -37,8 +51,18 @@ def agreeing_key(spark, d):
 
 @query("WITH x AS (SELECT DISTINCT p_partkey AS p, string_split(p_name, ' ')[-1] AS l, l_orderkey AS o FROM part JOIN lineitem ON l_partkey = p_partkey WHERE l_quantity >= 40) SELECT DISTINCT a.p AS left_id, b.p AS right_id FROM x a JOIN x b ON a.o = b.o AND a.l = b.l AND a.p < b.p")
 def near_duplicate_pairs(spark, d):
+    """Only lines of quantity 40 and more; :func:`near_duplicate_pairs_all` takes every line."""
+    return _near_duplicates(spark, d, "l_quantity >= 40")
+
+
+@query("WITH x AS (SELECT DISTINCT p_partkey AS p, string_split(p_name, ' ')[-1] AS l, l_orderkey AS o FROM part JOIN lineitem ON l_partkey = p_partkey) SELECT DISTINCT a.p AS left_id, b.p AS right_id FROM x a JOIN x b ON a.o = b.o AND a.l = b.l AND a.p < b.p")
+def near_duplicate_pairs_all(spark, d):
+    return _near_duplicates(spark, d, "true")
+
+
+def _near_duplicates(spark, d, lines):
     p, li = tables(spark, d, "part", "lineitem")
-    works = li.filter("l_quantity >= 40").select(F.col("l_partkey").alias("p_partkey"), "l_orderkey")
+    works = li.filter(lines).select(F.col("l_partkey").alias("p_partkey"), "l_orderkey")
     return M.near_duplicates(p, works, "p_partkey", F.col("p_name"), "l_orderkey")
 
 

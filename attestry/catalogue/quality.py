@@ -81,8 +81,23 @@ SELECT k::VARCHAR AS subject, CASE WHEN p_partkey IS NULL THEN 'missing' ELSE fi
 FROM (SELECT e.*, p_partkey, CASE WHEN field = 'p_brand' THEN p_brand ELSE p_size::VARCHAR END AS have FROM e LEFT JOIN part ON k = p_partkey) WHERE have IS DISTINCT FROM value"""
 )
 def golden_records(spark, d):
-    p = table(spark, d, "part")
-    chosen = p.filter("p_partkey % 50 = 0").select("p_partkey", F.when(F.col("p_partkey") % 3 == 0, "Brand#0").otherwise(F.col("p_brand")).alias("p_brand"), F.col("p_size").cast("string").alias("p_size"))
+    """Every fiftieth part is expected; :func:`golden_records_all` expects all of them."""
+    return _golden(table(spark, d, "part"), "p_partkey % 50 = 0")
+
+
+@query(
+    """WITH e AS (SELECT p_partkey AS k, 'p_brand' AS field, CASE WHEN p_partkey % 3 = 0 THEN 'Brand#0' ELSE p_brand END AS value FROM part
+  UNION ALL SELECT p_partkey, 'p_size', p_size::VARCHAR FROM part UNION ALL SELECT -1, 'p_brand', 'Brand#1')
+SELECT k::VARCHAR AS subject, CASE WHEN p_partkey IS NULL THEN 'missing' ELSE field || ' is ' || have || ' not ' || value END AS detail
+FROM (SELECT e.*, p_partkey, CASE WHEN field = 'p_brand' THEN p_brand ELSE p_size::VARCHAR END AS have FROM e LEFT JOIN part ON k = p_partkey) WHERE have IS DISTINCT FROM value"""
+)
+def golden_records_all(spark, d):
+    return _golden(table(spark, d, "part"), "true")
+
+
+def _golden(p, expected_parts):
+    spark = p.sparkSession
+    chosen = p.filter(expected_parts).select("p_partkey", F.when(F.col("p_partkey") % 3 == 0, "Brand#0").otherwise(F.col("p_brand")).alias("p_brand"), F.col("p_size").cast("string").alias("p_size"))
     expected = chosen.unpivot("p_partkey", ["p_brand", "p_size"], "field", "value").withColumnRenamed("p_partkey", "k")
     expected = expected.unionByName(spark.createDataFrame([(-1, "p_brand", "Brand#1")], "k bigint, field string, value string"))
     return Q.golden(p.withColumnRenamed("p_partkey", "k"), "k", expected, ["p_brand", "p_size"]).select(F.col("subject").cast("string").alias("subject"), "detail")

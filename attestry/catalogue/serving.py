@@ -206,11 +206,21 @@ def search_text(spark, d):
 
 @query("SELECT a.s_suppkey, b.s_suppkey AS sibling FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey AND a.s_suppkey <> b.s_suppkey WHERE a.s_suppkey % 7 = 0 AND b.s_acctbal > 9000")
 def sibling_join(spark, d):
+    """Pairs of some suppliers and some siblings; :func:`sibling_counts` has the siblings of all."""
     s = table(spark, d, "supplier")
     b = s.filter("s_acctbal > 9000").select("s_nationkey", F.col("s_suppkey").alias("sibling"))
     return s.filter("s_suppkey % 7 = 0").join(b, "s_nationkey").filter("s_suppkey <> sibling").select("s_suppkey", "sibling")
 
 
+@query("SELECT s_suppkey, s_nationkey, (SELECT count(*) FROM supplier b WHERE b.s_nationkey = a.s_nationkey AND b.s_suppkey <> a.s_suppkey) AS siblings FROM supplier a")
+def sibling_counts(spark, d):
+    """Every supplier, its nation and how many others that nation has; the siblings are the rows of the same nation, so that a nation of n suppliers
+    takes n rows and not n * (n - 1)."""
+    s = table(spark, d, "supplier")
+    g = s.filter("s_nationkey IS NOT NULL").groupBy("s_nationkey").agg((F.count(F.lit(1)) - 1).alias("siblings"))
+    return s.select("s_suppkey", "s_nationkey").join(F.broadcast(g), "s_nationkey", "left").select("s_suppkey", "s_nationkey", F.coalesce("siblings", F.lit(0)).alias("siblings"))
+
+
 @query("SELECT n_nationkey, EXISTS (SELECT 1 FROM customer WHERE c_nationkey = n_nationkey AND c_acctbal > 9900) AS has_children FROM nation")
 def exists_flag(spark, d):
     n, c = tables(spark, d, "nation", "customer")

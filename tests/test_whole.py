@@ -46,3 +46,25 @@ def test_garbled_documents_has_every_row(spark):
     docs = spark.read.parquet(f"{DATA}/sf0.01/documents.parquet").select("doc_id", "text").collect()
     got = {r["doc_id"]: r["garbled"] for r in catalogue.QUERIES["garbled_documents"](spark, f"{DATA}/sf0.01").collect()}
     assert got == {r["doc_id"]: is_garbled(r["text"]) for r in docs}
+
+
+def test_nothing_is_filtered(spark):
+    folder = f"{DATA}/sf0.01"
+    lines, suppliers, parts = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("lineitem", "supplier", "part"))
+    rows = {n: catalogue.QUERIES[n](spark, folder) for n in ("cascade_match_all", "near_duplicate_pairs_all", "relationship_claims_all", "sibling_counts", "golden_records_all")}
+    assert rows["cascade_match_all"].count() == lines.count()
+    assert rows["relationship_claims_all"].count() == lines.select("l_orderkey", "l_partkey").distinct().count()
+    assert rows["golden_records_all"].count() == parts.filter("p_partkey % 3 = 0 AND p_brand <> 'Brand#0'").count() + 1
+
+    by = {}
+    for r in suppliers.collect():
+        by.setdefault(r["s_nationkey"], set()).add(r["s_suppkey"])
+    got = {(r["s_suppkey"], r["s_nationkey"]): r["siblings"] for r in rows["sibling_counts"].collect()}
+    assert got == {(s, n): len(group) - 1 for n, group in by.items() for s in group}
+
+    last = {r["p_partkey"]: r["p_name"].split()[-1] for r in parts.collect()}
+    orders = {}
+    for r in lines.select("l_orderkey", "l_partkey").collect():
+        orders.setdefault(r["l_orderkey"], set()).add(r["l_partkey"])
+    want = {(a, b) for group in orders.values() for a in group for b in group if a < b and last[a] == last[b]}
+    assert {tuple(r) for r in rows["near_duplicate_pairs_all"].collect()} == want and len(want) > 661
