@@ -93,14 +93,13 @@ class Scanner:
         for i, begins in near.items():
             label, notice, e, pattern = self.notices[i]
             found = set()
-            for lo, hi in _ranges(sorted(begins), len(notice), e, len(seen)):
+            for lo, hi in _windows(sorted(begins), len(notice), e, len(seen)):
                 exact = seen.find(notice, lo, hi)
-                if exact >= 0 and hi - lo <= len(notice) + 4 * e:  # one place only fits in here
+                if exact >= 0:
                     found.add((exact, exact + len(notice), 0))
-                    continue
-                for m in pattern.finditer(seen, lo, hi):
+                elif m := pattern.search(seen, lo, hi):
                     found.add((m.start(), m.end(), sum(m.fuzzy_counts)))
-            for a, b, edits in sorted(found):
+            for a, b, edits in _places(found, len(notice)):
                 # edits at the borders may take in the space beside a notice
                 a += len(seen[a:b]) - len(seen[a:b].lstrip())
                 first = seen.count(" ", 0, a)
@@ -109,27 +108,35 @@ class Scanner:
 
 
 def _best(spans: list[dict]) -> list[dict]:
-    """Without spans that overlap a more similar one (notices that differ by a version or a clause), in text order."""
+    """Without spans of which a more similar one covers more than half (notices that differ by a version or a clause), in text order.
+    Notices that follow each other may share words at the border, where edits reach into the next one."""
     kept: list[dict] = []
     for s in sorted(spans, key=lambda s: -s["similarity"]):
-        over = (k for k in kept if s["first_word"] < k["first_word"] + k["words"] and k["first_word"] < s["first_word"] + s["words"])
+        over = (k for k in kept if 2 * (min(k["first_word"] + k["words"], s["first_word"] + s["words"]) - max(k["first_word"], s["first_word"])) > min(k["words"], s["words"]))
         if all(k["similarity"] <= s["similarity"] for k in over):
             kept.append(s)
     return sorted(kept, key=lambda s: (s["first_word"], s["label"], s["edits"]))
 
 
-def _ranges(begins: list[int], length: int, e: int, n: int) -> Iterator[tuple[int, int]]:
-    """Windows in which a notice may stand, given where it would begin without shifts; touching windows are joined."""
-    lo, hi = -1, -1
-    for b in begins:
-        a, z = max(0, b - 2 * e), min(n, b + length + 2 * e)
-        if a > hi:
-            if hi >= 0:
-                yield lo, hi
-            lo, hi = a, z
-        hi = max(hi, z)
-    if hi >= 0:
-        yield lo, hi
+def _windows(begins: list[int], length: int, e: int, n: int) -> Iterator[tuple[int, int]]:
+    """Windows in which a notice may stand, given where it would begin without shifts. Begins at most ``e`` apart share a window, as they come
+    from one place; a window is so short that no second place fits in (below an edit in five characters)."""
+    i = 0
+    while i < len(begins):
+        first = last = begins[i]
+        while i < len(begins) and begins[i] <= first + e:
+            last = begins[i]
+            i += 1
+        yield max(0, first - e), min(n, last + length + e)
+
+
+def _places(found: set[tuple[int, int, int]], length: int) -> list[tuple[int, int, int]]:
+    """Spans of one notice, the one with the fewest edits of those that share more than half of it."""
+    kept: list[tuple[int, int, int]] = []
+    for a, b, edits in sorted(found, key=lambda f: (f[2], f)):
+        if all(2 * (min(b, d) - max(a, c)) <= length for c, d, _ in kept):
+            kept.append((a, b, edits))
+    return sorted(kept)
 
 
 def scan_licenses(docs: DataFrame, text: str = "text", key: str = "doc_id", base: dict[str, str] = BASE, notices: tuple[tuple[str, str], ...] = NOTICES, edit_rate: float = 0.1) -> DataFrame:
