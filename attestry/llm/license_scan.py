@@ -2,8 +2,8 @@
 
 Texts are lower-cased (A-Z), cut into words of digits, letters and non-ASCII characters, and the words joined by one space. A
 notice that may be off by ``e`` edits is split into ``e + 1`` pieces: whatever the edits, one piece stands unchanged (pigeonhole).
-Exact searches for all pieces give the candidate places; around each, the regex library's bounded-error matching
-verifies the notice with at most ``e`` edits and gives its span. Phrases of the base set are places of exact words.
+Exact searches for all pieces give the candidate places; around each, a bit-parallel search verifies
+the notice with at most ``e`` edits, and the regex library's bounded-error matching gives its span. Phrases of the base set are places of exact words.
 
 Defined cases: null reads as empty, no words and no spans; overlapping places all count; repeated rows are scanned alike; long
 texts are scanned whole; an empty table gives an empty result.
@@ -52,9 +52,9 @@ _NORMAL = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or chr(c).isalnum() e
 SPANS = pa.list_(pa.struct([("label", pa.string()), ("first_word", pa.int32()), ("words", pa.int32()), ("edits", pa.int32()), ("similarity", pa.float64())]))
 
 
-def edits_allowed(notice: str, rate: float, most: int = 4) -> int:
-    """Edits grow with a notice's length up to ``most``, beyond which bounded-error matching gets slow."""
-    return min(most, int(len(notice) * rate))
+def edits_allowed(notice: str, rate: float) -> int:
+    """Edits grow with a notice's length."""
+    return int(len(notice) * rate)
 
 
 class Scanner:
@@ -65,7 +65,8 @@ class Scanner:
         where: dict[bytes, list[tuple[int, int]]] = {}
         for i, (label, notice) in enumerate(notices):
             e = edits_allowed(notice, rate)
-            self.notices.append((label, notice, e, regex.compile(rf"(?b)(?:{regex.escape(notice)}){{e<={e}}}")))
+            patterns = [regex.compile(rf"(?b)(?:{regex.escape(notice)}){{e<={n}}}") for n in range(e + 1)]
+            self.notices.append((label, notice, e, patterns, _bits(notice)))
             cuts = [len(notice) * j // (e + 1) for j in range(e + 2)]
             for a, b in zip(cuts, cuts[1:], strict=False):
                 where.setdefault(notice[a:b].encode(), []).append((i, a))
@@ -91,13 +92,13 @@ class Scanner:
         seen = joined.decode("latin-1") if near else ""
         spans = []
         for i, begins in near.items():
-            label, notice, e, pattern = self.notices[i]
+            label, notice, e, patterns, bits = self.notices[i]
             found = set()
             for lo, hi in _windows(sorted(begins), len(notice), e, len(seen)):
                 exact = seen.find(notice, lo, hi)
                 if exact >= 0:
                     found.add((exact, exact + len(notice), 0))
-                elif m := pattern.search(seen, lo, hi):
+                elif (least := _least_edits(bits, len(notice), seen[lo:hi])) <= e and (m := patterns[least].search(seen, lo, hi)):
                     found.add((m.start(), m.end(), sum(m.fuzzy_counts)))
             for a, b, edits in _places(found, len(notice)):
                 # edits at the borders may take in the space beside a notice
@@ -107,6 +108,33 @@ class Scanner:
         return len(words), places, _best(spans)
 
 
+def _bits(notice: str) -> dict[str, int]:
+    """For each character the bits of its places."""
+    out: dict[str, int] = {}
+    for i, c in enumerate(notice):
+        out[c] = out.get(c, 0) | 1 << i
+    return out
+
+
+def _least_edits(bits: dict[str, int], length: int, text: str) -> int:
+    """Least edits from the notice to any part of the text: Myers' bit-parallel search, whose cost doesn't grow with the edits allowed."""
+    every, last = (1 << length) - 1, 1 << (length - 1)
+    up, down, score, least = every, 0, length, length
+    for c in text:
+        eq = bits.get(c, 0)
+        v = eq | down
+        h = (((eq & up) + up) ^ up) | eq
+        more, less = down | every & ~(h | up), up & h
+        if more & last:
+            score += 1
+        elif less & last:
+            score -= 1
+            least = min(least, score)
+        more, less = more << 1 & every, less << 1 & every
+        up, down = less | every & ~(v | more), more & v
+    return least
+
+
 def _best(spans: list[dict]) -> list[dict]:
     """Without spans of which a more similar one covers more than half (notices that differ by a version or a clause), in text order.
     Notices that follow each other may share words at the border, where edits reach into the next one."""
@@ -141,7 +169,7 @@ def _places(found: set[tuple[int, int, int]], length: int) -> list[tuple[int, in
 
 def scan_licenses(docs: DataFrame, text: str = "text", key: str = "doc_id", base: dict[str, str] = BASE, notices: tuple[tuple[str, str], ...] = NOTICES, edit_rate: float = 0.1) -> DataFrame:
     """One row per row of ``docs``: key, n_words, base (array of first_word and label), spans (notices with at most ``edit_rate``
-    edits a character, four at most)."""
+    edits a character)."""
     rows = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"))
     place = pa.list_(pa.struct([("first_word", pa.int32()), ("label", pa.string())]))
 

@@ -34,3 +34,27 @@ def test_every_place_of_a_list():
             step = len(notice.split())
             for i, _ in enumerate(order):
                 assert any(abs(w - i * step) <= 1 for _, w, _ in got), (label, i, got)
+
+
+def test_long_notices_have_all_their_edits():
+    """Edits spread evenly, as many as the rate gives, and one more than that."""
+    for label, notice in L.NOTICES:
+        most = len(notice) // 10
+        for n in (most, most + 1):
+            at = {len(notice) * (2 * i + 1) // (2 * n) for i in range(n)}
+            text = "".join("0" if i in at else c for i, c in enumerate(notice))
+            got = [x for x in scan(f"some words {text} and more") if x[0] == label]
+            assert [e for _, _, e in got] == ([n] if n == most else []), (label, n, got)
+
+
+def test_least_edits_against_plain_search():
+    rng = random.Random(1)
+    for _ in range(500):
+        notice, text = ("".join(rng.choices("abc", k=rng.randint(1, 12))), "".join(rng.choices("abcd", k=rng.randint(0, 20))))
+        row = [0] * (len(text) + 1)
+        for i, a in enumerate(notice, 1):
+            new = [i]
+            for j, b in enumerate(text, 1):
+                new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (a != b)))
+            row = new
+        assert L._least_edits(L._bits(notice), len(notice), text) == min(row)
