@@ -1,7 +1,7 @@
 """The corpus pipeline: documents to a sharded, mixed, decontaminated, deduplicated corpus.
 
-Each stage works on all rows that the one before kept and returns the columns of ``documents``; the last returns where each row
-of the mixture was put. Stages: quality rules (rejected documents go), N-gram Jaccard join (five words, 0.8; the smallest id of each
+Each stage works on all rows that the one before kept and returns the columns of ``documents``; the last returns id, language,
+source and length of each row of the mixture with the tier and version of its shard, not the shard's name or the row in it. Stages: quality rules (rejected documents go), N-gram Jaccard join (five words, 0.8; the smallest id of each
 group stays), benchmark decontamination (contaminated documents go), mixing (rows repeated or left out to meet the sources' targets),
 sharding (size-tiered shards with a versioned manifest).
 """
