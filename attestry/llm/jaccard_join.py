@@ -1,14 +1,18 @@
 """N-gram Jaccard join: documents whose sets of word shingles are alike, as connected components.
 
 1. Every text becomes its sorted set of shingle hashes (64 bits). Equal sets are one node from here on.
-2. Candidates. Two sets with Jaccard of at least p/q differ in at most D = (q - p)/(p + q) of their added sizes. Hash space is cut into
-   more than D ranges (by size band, so that both sets are cut alike), so some range holds the same shingles on both sides: the
-   content of each range is a key, and nodes that share a key are chained to the smallest of them. The chains' connected components hold every link.
-3. Links. Within such a component, shingles are hashed into groups; a set's group counts are a point, packed into an R-tree of
-   coordinate-wise maxima. Summed coordinate minima bound the overlap: subtrees and points below the least overlap are cut, what
-   survives is verified on the sets, unless already connected. Components above ``group_shingles`` are split into chunks, and each
-   pair of chunks is one bounded group, so nothing is ever gathered whole.
-4. Components of the verified links give the classes.
+2. Buckets. Two sets with Jaccard of at least p/q differ in at most D = (q - p)/(p + q) of their added sizes. Hash space is cut into
+   more than D ranges (by size band, so that both sets are cut alike), so some ranges hold the same shingles on both sides. The
+   content of a range is a key; each set keeps its D + 1 strongest keys (most shingles, then hash), which always leaves the
+   strongest common one. Nodes that share a key are a bucket; equal buckets are one.
+3. Stars. Each node is first compared with the least node of each of its buckets: by count vectors (shingles hashed into ``DIM``
+   groups, summed coordinate minima bound the overlap), then, if that bound allows a link, on the sets. Groups of copies fall together here.
+4. R-trees. In buckets whose nodes are still apart, count vectors are packed into an R-tree of coordinate-wise maxima; subtrees and
+   points below the least overlap are cut. Only what survives goes on: its sets are compared, block by block of bounded size, unless
+   already connected. Buckets of more than ``bucket_points`` points are searched chunk pair by chunk pair, so nothing is gathered whole.
+5. Components of the verified links give the classes; components of unverified candidates are taken of the tree's survivors only.
+
+Links are not counted per document: copies of a large group link all with all, and steps 3 and 4 leave out pairs that are already connected.
 
 Defined cases: a text without words (null, empty) is linked with nothing and its own class; a text of fewer words than a shingle is one
 shingle; a null id never names a class with other ids in it; repeated rows are in one class; extra columns are not looked at.
@@ -16,11 +20,12 @@ shingle; a null id never names a class with other ids in it; repeated rows are i
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import itertools
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -28,7 +33,7 @@ from ._graph import components
 from ._spark import release, stage
 from ._words import SPACE, U64, Words, mix, runs, slices
 
-DIM = 64
+DIM = 256
 
 
 class Bands:
@@ -48,7 +53,7 @@ class Bands:
         """Most differing shingles of two linked sets in this band, and the lower ends of the ranges."""
         if j not in self.cuts:
             differ = (self.q - self.p) * 2 * (self.low[j + 1] - 1) // (self.p + self.q)
-            ranges = differ + 1 + (differ + 1) // 50 + 2
+            ranges = differ + 2 + -(-3 * differ // 10)
             self.cuts[j] = differ, (np.arange(ranges, dtype=object) * (1 << 64) // ranges).astype(U64)
         return self.cuts[j]
 
@@ -64,9 +69,8 @@ class Bands:
                 continue  # only equal sets
             at = np.append(np.searchsorted(shingles, low), n)
             key = mix((run[at[1:]] - run[at[:-1]]) ^ mix(low + U64(band)))
-            full = at[1:] > at[:-1]
-            # unless all ranges that must agree could be empty ones, an agreeing range with shingles is enough
-            out.append(key if (~full).sum() >= len(low) - differ else key[full])
+            # a pair agrees on at least len(low) - differ ranges; without its len(low) - differ - 1 weakest each side still has the strongest of them
+            out.append(key[np.lexsort((key, np.diff(at)))[-(differ + 1) :]])
         return np.concatenate(out) if out else np.zeros(0, U64)
 
 
@@ -93,50 +97,99 @@ def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
 
-def _nodes(batches: Iterator[pa.RecordBatch], k: int, lower: bool, p: int, q: int) -> Iterator[pa.RecordBatch]:
-    bands = Bands(p, q)
-    seen: set[int] = set()
+def counts_of(shingles: np.ndarray) -> bytes:
+    """The count vector, one byte a group where no count needs more."""
+    counts = np.bincount((shingles & U64(DIM - 1)).astype(np.int64), minlength=DIM)
+    return counts.astype(np.uint8 if counts.max() < 256 else np.uint32).tobytes()
+
+
+def vector(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, np.uint8 if len(data) == DIM else np.uint32).astype(np.int32)
+
+
+class Seen:
+    """Nodes met in this task; forgotten when there are many, as giving the same rows twice does no harm."""
+
+    def __init__(self, most: int = 1_000_000):
+        self.nodes: set[int] = set()
+        self.most = most
+
+    def new(self, node: int) -> bool:
+        if node in self.nodes:
+            return False
+        if len(self.nodes) > self.most:
+            self.nodes.clear()
+        self.nodes.add(node)
+        return True
+
+
+def _nodes(batches: Iterator[pa.RecordBatch], k: int, lower: bool) -> Iterator[pa.RecordBatch]:
+    """Rows (key, content, text) to (key, content, n, node, counts)."""
+    seen = Seen()
     for batch in batches:
-        sizes, nodes, keys, ends = [], [], [np.zeros(0, U64)], [0]
-        for s in shingle_sets(batch, k, lower):
-            node = node_of(s) if len(s) else None
-            sizes.append(len(s))
-            nodes.append(node)
-            if node is not None and node not in seen:
-                if len(seen) > 1_000_000:
-                    seen.clear()  # keys given twice do no harm
-                seen.add(node)
-                keys.append(bands.keys(s))
-                ends.append(ends[-1] + len(keys[-1]))
-            else:
-                ends.append(ends[-1])
-        lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), _signed(np.concatenate(keys)))
-        rest = [c for n, c in zip(batch.schema.names, batch.columns, strict=True) if n != "text"]
-        yield pa.RecordBatch.from_arrays([*rest, pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), lists], [n for n in batch.schema.names if n != "text"] + ["n", "node", "keys"])
+        sets = list(shingle_sets(batch, k, lower))
+        nodes = [node_of(s) if len(s) else None for s in sets]
+        vectors = [counts_of(s) if node is not None and seen.new(node) else None for node, s in zip(nodes, sets, strict=True)]
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("key"), batch.column("content"), pa.array([len(s) for s in sets], pa.int64()), pa.array(nodes, pa.int64()), pa.array(vectors, pa.binary())], ["key", "content", "n", "node", "counts"]
+        )
 
 
-def _chains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by key and node to edges from each further node of a key to its first."""
-    key, first = None, None
+def _keys(batches: Iterator[pa.RecordBatch], k: int, lower: bool, p: int, q: int) -> Iterator[pa.RecordBatch]:
+    """Texts to (k, node) for each key of each node."""
+    bands, seen = Bands(p, q), Seen()
     for batch in batches:
-        if not batch.num_rows:
+        nodes, keys = [], []
+        for s in shingle_sets(batch, k, lower):
+            if len(s) and seen.new(node := node_of(s)):
+                keys.append(bands.keys(s))
+                nodes.append(np.full(len(keys[-1]), node, np.int64))
+        if keys:
+            yield pa.RecordBatch.from_arrays([_signed(np.concatenate(keys)), pa.array(np.concatenate(nodes))], ["k", "node"])
+
+
+def _buckets(batches: Iterator[pa.RecordBatch], longest: int = 1 << 16) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by key and node to (bucket, node) of keys with two nodes or more. A bucket is named by its nodes, so that keys of the same
+    nodes give one bucket; a key of more than ``longest`` rows is passed on row by row under its own name."""
+
+    def out(buckets: np.ndarray, nodes: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([_signed(buckets), pa.array(nodes)], ["bucket", "node"])
+
+    held, streamed = (np.zeros(0, np.int64), np.zeros(0, np.int64)), None
+    for batch in itertools.chain(batches, [None]):
+        key, node = held if batch is None else (np.concatenate([h, c.to_numpy()]) for h, c in zip(held, batch.columns, strict=True))
+        if streamed is not None and len(key):
+            n = int(np.searchsorted(key, streamed, side="right"))
+            if n:
+                yield out(np.full(n, mix(np.array([streamed]).view(U64))[0]), node[:n])
+            key, node = key[n:], node[n:]
+            streamed = None if len(key) else streamed
+        if not len(key):
+            held = key, node
             continue
-        keys, nodes = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        new = np.append(key is None or keys[0] != key, keys[1:] != keys[:-1])
-        place = np.maximum.accumulate(np.where(new, np.arange(len(keys)), -1))
-        head = np.where(place >= 0, nodes[place], first if first is not None else 0)
-        key, first = keys[-1], head[-1]
-        apart = nodes != head
-        a, b = nodes[apart], head[apart]
-        if len(a):
-            pairs = np.unique(np.column_stack([a, b]), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+        new = np.append(True, key[1:] != key[:-1])
+        other = new | np.append(True, node[1:] != node[:-1])
+        key, node, new = key[other], node[other], new[other]
+        start = np.flatnonzero(new)
+        end = len(key) if batch is None else int(start[-1])
+        held = key[end:], node[end:]
+        if len(held[0]) > longest:
+            streamed = held[0][0]
+            yield out(np.full(len(held[0]), mix(np.array([streamed]).view(U64))[0]), held[1])
+            held = key[:0], node[:0]
+        if end:
+            start = start[start < end]
+            size = np.diff(np.append(start, end))
+            name = mix(np.add.reduceat(mix(node[:end].view(U64)), start) + size.astype(U64))
+            several = np.repeat(size > 1, size)
+            yield out(np.repeat(name, size)[several], node[:end][several])
 
 
 class CountTree:
     """R-tree of count vectors, packed by halving along the widest coordinate; inner nodes hold maxima of coordinates and sizes' bounds."""
 
     def __init__(self, counts: np.ndarray, sizes: np.ndarray, leaf: int = 16):
+        self.counts = counts
         order = [np.arange(len(sizes))]
         while max(map(len, order)) > leaf:
             parts = []
@@ -175,14 +228,7 @@ class CountTree:
         return self.order[at]
 
 
-def link(sets: list[np.ndarray], p: int, q: int, halves: np.ndarray | None = None) -> np.ndarray:
-    """For each set the first set of its component. ``halves``: only pairs of different halves are compared (chunk pairs)."""
-    m = len(sets)
-    sizes = np.array([len(s) for s in sets], np.int64)
-    counts = np.zeros((m, DIM), np.int32)
-    for i, s in enumerate(sets):
-        counts[i] = np.bincount((s & U64(DIM - 1)).astype(np.int64), minlength=DIM)
-    tree = CountTree(counts, sizes)
+def roots(m: int) -> tuple[list[int], Callable[[int], int]]:
     root = list(range(m))
 
     def find(i: int) -> int:
@@ -191,6 +237,28 @@ def link(sets: list[np.ndarray], p: int, q: int, halves: np.ndarray | None = Non
             i = root[i]
         return i
 
+    return root, find
+
+
+def alike(small: np.ndarray, large: np.ndarray, p: int, q: int) -> bool:
+    at = np.searchsorted(large, small)
+    at[at == len(large)] = 0
+    both = int((large[at] == small).sum())
+    return q * both >= p * (len(small) + len(large) - both)
+
+
+def link(sets: list[np.ndarray], p: int, q: int, known: list[int], halves: np.ndarray | None = None) -> np.ndarray:
+    """For each set the first set of its component. ``known``: equal numbers are connected already. ``halves``: only pairs of different
+    halves are compared (chunk pairs)."""
+    m = len(sets)
+    sizes = np.array([len(s) for s in sets], np.int64)
+    tree = CountTree(np.array([np.bincount((s & U64(DIM - 1)).astype(np.int64), minlength=DIM) for s in sets]).astype(np.int32), sizes)
+    counts = tree.counts
+    root, find = roots(m)
+    first: dict[int, int] = {}
+    for i, c in enumerate(known):
+        root[i] = first.setdefault(c, i)
+
     for i in np.argsort(sizes, kind="stable").tolist():
         near = tree.search(counts[i], int(sizes[i]), p, q)
         for j in near.tolist():
@@ -200,99 +268,162 @@ def link(sets: list[np.ndarray], p: int, q: int, halves: np.ndarray | None = Non
             a, b = find(i), find(j)
             if a == b:
                 continue
-            small, large = sets[j], sets[i]
-            at = np.searchsorted(large, small)
-            at[at == len(large)] = 0
-            both = int((large[at] == small).sum())
-            if q * both >= p * (len(small) + len(large) - both):
+            if alike(sets[j], sets[i], p, q):
                 root[max(a, b)] = min(a, b)
     return np.array([find(i) for i in range(m)])
 
 
+def _grouped(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[list[list]]:
+    """Rows sorted by the first ``width`` columns to the other columns of one group after another; a group never holds more than a block."""
+    name, rows = None, []
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if row[:width] != name:
+                if len(rows) > 1:
+                    yield [list(c) for c in zip(*rows, strict=True)]
+                name, rows = row[:width], []
+            rows.append(row[width:])
+    if len(rows) > 1:
+        yield [list(c) for c in zip(*rows, strict=True)]
+
+
+def _edges(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
+    both = np.array(pairs, np.int64).reshape(-1, 2)
+    return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
+
+
+def _proposals(batches: Iterator[pa.RecordBatch], p: int, q: int) -> Iterator[pa.RecordBatch]:
+    """Rows (bucket, x, y, half, node, known, n, counts) sorted by the first three to edges that connect whatever the R-tree leaves: all
+    nodes with a partner in another known class that they might link with. Between two halves, one is the tree and the other searches."""
+    for half, node, known, n, counts in _grouped(batches, 3):
+        half, known, n = np.array(half), np.array(known), np.array(n)
+        v = np.array([vector(c) for c in counts])
+        inner = np.arange(len(n))
+        if half.any():
+            inner, asking = np.flatnonzero(half == 0), np.flatnonzero(half == 1)
+            if not len(inner):
+                continue
+        else:
+            # a pair of two classes is found from the smaller one
+            of, size = np.unique(known, return_counts=True)
+            asking = np.flatnonzero(known != of[np.argmax(size)])
+        tree = CountTree(v[inner], n[inner])
+        root, find = roots(len(n))
+        pairs = []
+        for i in asking.tolist():
+            for j in inner[tree.search(v[i], int(n[i]), p, q)].tolist():
+                if known[i] != known[j] and (a := find(i)) != (b := find(j)):
+                    root[max(a, b)] = min(a, b)
+                    pairs.append((node[i], node[j]))
+        if pairs:
+            yield _edges(pairs)
+
+
 def _links(batches: Iterator[pa.RecordBatch], p: int, q: int) -> Iterator[pa.RecordBatch]:
-    """Rows (grp, half, node, shingles) sorted by grp to edges of each group's verified components."""
-    grp, nodes, sets, halves = None, [], [], []
+    """Rows (group, x, y, half, node, known, shingles) sorted by the first three to edges of each block's verified components."""
+    for half, node, known, shingles in _grouped(batches, 3):
+        two = np.array(half) if any(half) else None
+        first = link([np.frombuffer(s, U64) for s in shingles], p, q, known, two).tolist()
+        if pairs := [(node[i], node[j]) for i, j in enumerate(first) if i != j]:
+            yield _edges(pairs)
 
-    def flush() -> pa.RecordBatch:
-        two = np.array(halves) if len(set(halves)) > 1 else None
-        first = link(sets, p, q, two)
-        far = np.flatnonzero(first != np.arange(len(first)))
-        ids = np.array(nodes, np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(ids[far]), pa.array(ids[first[far]])], ["a", "b"])
 
+def _spokes(batches: Iterator[pa.RecordBatch], holds: Callable[[bytes, int, bytes, int], bool]) -> Iterator[pa.RecordBatch]:
+    """Rows (hub, task, part, node, n, data) sorted by the first three, the hub's own (part 0) first, to the pairs that hold. One hub is in memory."""
+    name, own = None, None
     for batch in batches:
-        for g, half, node, s in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-            if g != grp:
-                if len(sets) > 1:
-                    yield flush()
-                grp, nodes, sets, halves = g, [], [], []
-            nodes.append(node)
-            halves.append(half)
-            sets.append(np.frombuffer(s, U64))
-    if len(sets) > 1:
-        yield flush()
-
-
-def _bits(ids: DataFrame, width: int = 24) -> np.ndarray:
-    """Bitmap (2**width bits, whatever the input) of hashes: a filter that may let others pass."""
-    at = F.shiftrightunsigned("h", 64 - width).cast("long")
-    words = ids.select(F.shiftright(at, 6).alias("w"), F.expr(f"shiftleft(1L, cast(shiftrightunsigned(h, {64 - width}) & 63 AS int))").alias("bit")).groupBy("w").agg(F.bit_or("bit").alias("bits")).toArrow()
-    out = np.zeros(1 << (width - 6), np.int64)
-    out[words["w"].to_numpy()] = words["bits"].to_numpy()
-    return out.view(U64)
-
-
-def _some_sets(batches: Iterator[pa.RecordBatch], bits: np.ndarray, k: int, lower: bool) -> Iterator[pa.RecordBatch]:
-    """Nodes and shingles of the rows whose hash is in the bitmap."""
-    width = len(bits).bit_length() + 5
+        pairs = []
+        for hub, task, part, node, n, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if part == 0:
+                name, own = (hub, task), (data, n)
+            elif name == (hub, task) and holds(*own, data, n):
+                pairs.append((node, hub))
+        yield _edges(pairs)
+
+
+def _holding(pairs: DataFrame, data: DataFrame, holds: Callable[[bytes, int, bytes, int], bool], spokes: int = 2000) -> DataFrame:
+    """The pairs (a: node, b: hub) whose ``data`` (node, n, data) hold. A hub of many nodes is copied to as many tasks; spokes are streamed."""
+    tasks = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / spokes).cast("int").alias("c"))
+    hubs = tasks.join(data, F.col("b") == F.col("node")).select(F.col("b").alias("hub"), F.explode(F.sequence(F.lit(0), F.col("c") - 1)).alias("task"), F.lit(0).alias("part"), "node", "n", "data")
+    rows = pairs.join(tasks, "b").join(data, F.col("a") == F.col("node"))
+    rows = rows.select(F.col("b").alias("hub"), F.pmod(F.xxhash64("a"), F.col("c")).cast("int").alias("task"), F.lit(1).alias("part"), "node", "n", "data")
+    dealt = hubs.unionByName(rows).repartition("hub", "task").sortWithinPartitions("hub", "task", "part")
+    return dealt.mapInArrow(lambda b: _spokes(b, holds), "a bigint, b bigint")
+
+
+def _blocks(rows: DataFrame, group: str, weight: Column, limit: int) -> DataFrame:
+    """Rows with (x, y, half): a group of more than ``limit`` in weight is cut into chunks by node, and each pair of chunks is a block."""
+    chunks = rows.groupBy(F.col(group).alias("_g")).agg(F.ceil(F.sum(weight) / limit).cast("int").alias("_c"))
+    placed = rows.join(chunks, F.col(group) == F.col("_g")).withColumn("_mine", F.pmod(F.xxhash64(F.lit("chunk"), "node"), F.col("_c")).cast("int"))
+    placed = placed.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_c") - 1)))
+    half = F.when(F.col("_mine") > F.col("_other"), 1).otherwise(0)
+    return placed.withColumns({"x": F.least("_mine", "_other"), "y": F.greatest("_mine", "_other"), "half": half}).drop("_g", "_c", "_mine", "_other")
+
+
+def _some_sets(batches: Iterator[pa.RecordBatch], k: int, lower: bool) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        h = batch.column(0).to_numpy().view(U64) >> U64(64 - width)
-        batch = batch.filter(pa.array((bits[(h >> U64(6)).astype(np.int64)] >> (h & U64(63))) & U64(1) == 1))
-        if not batch.num_rows:
-            continue
-        sets = [s for s in shingle_sets(batch, k, lower)]
-        at = [i for i, s in enumerate(sets) if len(s)]
+        sets = [s for s in shingle_sets(batch, k, lower) if len(s)]
         yield pa.RecordBatch.from_arrays(
-            [pa.array([node_of(sets[i]) for i in at], pa.int64()), pa.array([len(sets[i]) for i in at], pa.int64()), pa.array([sets[i].tobytes() for i in at], pa.binary())], ["node", "n", "shingles"]
+            [pa.array([node_of(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "n", "data"]
         )
 
 
-def classes(docs: DataFrame, k: int = 5, p: int = 80, q: int = 100, lower: bool = True, text: str = "text", key: str = "doc_id", group_shingles: int = 2_000_000) -> DataFrame:
+def classes(
+    docs: DataFrame, k: int = 5, p: int = 80, q: int = 100, lower: bool = True, text: str = "text", key: str = "doc_id", group_shingles: int = 2_000_000, bucket_points: int = 20_000
+) -> DataFrame:
     """One row per row of ``docs``: key, content (hash of the text), n_shingles, component_id (smallest key of the component).
 
     Links are pairs with q * |A and B| >= p * |A or B| over sets of ``k``-word shingles."""
     spark = docs.sparkSession
     rows = docs.select(F.col(f"`{key}`").alias("key"), F.xxhash64(F.col(f"`{text}`")).alias("content"), F.col(f"`{text}`").alias("text"))
-    more = T.StructType.fromDDL("n bigint, node bigint, keys array<bigint>")
-    raw = stage(rows.mapInArrow(lambda b: _nodes(b, k, lower, p, q), T.StructType([rows.schema["key"], rows.schema["content"], *more])), "keys")
-    known = stage(raw.drop("keys"), "nodes")
-    keyed = raw.select(F.explode("keys").alias("k"), "node").repartition("k").sortWithinPartitions("k", "node")
-    chains = stage(keyed.mapInArrow(_chains, "a bigint, b bigint").distinct(), "chains")
+    # texts are read and hashed twice, as keys take more room than what they are made of
+    keyed = rows.select("text").mapInArrow(lambda b: _keys(b, k, lower, p, q), "k bigint, node bigint").repartition("k").sortWithinPartitions("k", "node")
+    buckets = stage(keyed.mapInArrow(_buckets, "bucket bigint, node bigint").distinct(), "buckets")
     del keyed
-    release(spark, raw)
-    near = stage(components(chains), "near")
-    release(spark, chains)
-
-    # one row stands for a node; its text is found again by a bitmap of fixed size, then joined by node
+    release(spark)
+    more = T.StructType.fromDDL("n bigint, node bigint, counts binary")
+    known = stage(rows.mapInArrow(lambda b: _nodes(b, k, lower), T.StructType([rows.schema["key"], rows.schema["content"], *more])), "nodes")
+    inside = buckets.select(F.col("node").alias("_node")).distinct()
+    points = known.filter("counts IS NOT NULL").join(inside, F.col("node") == F.col("_node"), "left_semi").select("node", "n", F.col("counts").alias("data")).dropDuplicates(["node"])
+    points = stage(points, "points")
+
+    # one row stands for a node, so that its text is found again without moving the others
     first = known.filter("node IS NOT NULL").groupBy("node").agg(F.min(F.struct("key", "content")).alias("one"))
-    wanted = near.join(first, "node").select(F.xxhash64("one.key", "one.content").alias("h"))
-    bits = _bits(wanted)
     hashed = rows.select(F.xxhash64("key", "content").alias("h"), "text")
-    sets = hashed.mapInArrow(lambda b: _some_sets(b, bits, k, lower), "node bigint, n bigint, shingles binary")
-    members = stage(near.join(sets, "node").dropDuplicates(["node"]), "sets")
-
-    size = members.groupBy("root").agg(F.sum("n").alias("total"), F.count("n").alias("m")).filter("m > 1")
-    chunks = F.ceil(F.col("total") / group_shingles).cast("int")
-    placed = members.join(size.select("root", chunks.alias("c")), "root").withColumn("mine", F.pmod(F.xxhash64(F.lit("chunk"), "node"), F.col("c")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("c") - 1)).alias("other")
-    pairs = placed.select("root", "node", "shingles", "mine", other)
-    groups = pairs.select(
-        F.concat_ws(":", F.col("root").cast("string"), F.least("mine", "other").cast("string"), F.greatest("mine", "other").cast("string")).alias("grp"),
-        F.when(F.col("mine") > F.col("other"), 1).otherwise(0).alias("half"), "node", "shingles",
-    )
-    groups = groups.repartition("grp").sortWithinPartitions("grp", "node")
-    found = stage(components(groups.mapInArrow(lambda b: _links(b, p, q), "a bigint, b bigint")), "links")
-    release(spark, members, near)
+
+    def sets_of(nodes: DataFrame) -> DataFrame:
+        wanted = stage(nodes.join(first, "node").select(F.xxhash64("one.key", "one.content").alias("_h")), "wanted")
+        some = hashed.join(wanted, F.col("h") == F.col("_h"), "left_semi").select("text")
+        sets = stage(some.mapInArrow(lambda b: _some_sets(b, k, lower), "node bigint, n bigint, data binary").dropDuplicates(["node"]), "sets")
+        release(spark, wanted)
+        return sets
+
+    def bound(v: bytes, m: int, w: bytes, n: int) -> bool:
+        return (p + q) * int(np.minimum(vector(v), vector(w)).sum()) >= p * (m + n) and q * min(m, n) >= p * max(m, n)
+
+    least = buckets.groupBy("bucket").agg(F.min("node").alias("b"))
+    stars = buckets.join(least, "bucket").filter("node <> b").select(F.col("node").alias("a"), "b").distinct()
+    stars = stage(_holding(stars, points, bound), "stars")
+    release(spark)
+    sets = sets_of(stars.select(F.col("a").alias("node")).unionByName(stars.select(F.col("b").alias("node"))).distinct())
+    linked = stage(components(_holding(stars, sets, lambda v, m, w, n: alike(np.frombuffer(v, U64), np.frombuffer(w, U64), p, q))), "linked")
+    release(spark, stars, sets)
+
+    # buckets whose nodes are still apart
+    apart = buckets.join(linked, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("known"))
+    open_ = apart.groupBy("bucket").agg(F.min("known").alias("x"), F.max("known").alias("y")).filter("x <> y").select("bucket")
+    searched = _blocks(apart.join(open_, "bucket", "left_semi").join(points, "node"), "bucket", F.lit(1), bucket_points)
+    searched = searched.select("bucket", "x", "y", "half", "node", "known", "n", "data").repartition("bucket", "x", "y").sortWithinPartitions("bucket", "x", "y")
+    near = stage(components(searched.mapInArrow(lambda b: _proposals(b, p, q), "a bigint, b bigint")), "near")
+    release(spark, buckets, points)
+
+    sets = sets_of(near.select("node"))
+    members = near.withColumnRenamed("root", "grp").join(linked, "node", "left").select("grp", "node", F.coalesce("root", "node").alias("known")).join(sets, "node")
+    blocks = _blocks(members, "grp", F.col("n"), group_shingles).select("grp", "x", "y", "half", "node", "known", "data")
+    blocks = blocks.repartition("grp", "x", "y").sortWithinPartitions("grp", "x", "y")
+    late = blocks.mapInArrow(lambda b: _links(b, p, q), "a bigint, b bigint")
+    found = stage(components(late.unionByName(linked.select(F.col("node").alias("a"), F.col("root").alias("b")))), "links")
+    release(spark, near, sets, linked)
 
     ids = known.filter("node IS NOT NULL").groupBy("node").agg(F.min("key").alias("least"))
     ids = ids.join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
