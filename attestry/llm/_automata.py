@@ -126,16 +126,24 @@ class _Parser:
 class Automaton:
     """``table[state * classes + class_of[byte]]`` is the next state; ``accepts[state]`` is a bit set of rules; state 0 is the start.
 
-    ``search`` automata may begin a match at any byte; others are anchored and have a dead state ``dead`` (-1 where none)."""
+    ``search`` automata may begin a match at any byte; others are anchored and have a dead state ``dead`` (-1 where none). ``reverse``
+    automata read matches from their last byte to their first."""
 
-    def __init__(self, patterns: list[str], search: bool):
+    def __init__(self, patterns: list[str], search: bool, reverse: bool = False):
         parser_edges: list[list[tuple[frozenset[int] | None, int]]] = [[]]
         final: dict[int, int] = {}
         for rule, pattern in enumerate(patterns):
             p = _Parser(pattern)
             a, z = p.parse()
             shift = len(parser_edges)
-            parser_edges += [[(on, to + shift) for on, to in e] for e in p.edges]
+            edges = p.edges
+            if reverse:
+                edges = [[] for _ in p.edges]
+                for at, e in enumerate(p.edges):
+                    for on, to in e:
+                        edges[to].append((on, at))
+                a, z = z, a
+            parser_edges += [[(on, to + shift) for on, to in e] for e in edges]
             parser_edges[0].append((None, a + shift))
             final[z + shift] = 1 << rule
         sets = sorted({on for e in parser_edges for on, _ in e if on is not None}, key=sorted)
@@ -204,6 +212,16 @@ class Automaton:
                 last = i + 1
         return last
 
+    def begins(self, data: bytes, begin: int, end: int) -> list[int]:
+        """Places where some match begins, ascending (reverse search automata): one pass from the end."""
+        state, classes, rows, accepts = 0, self._list(), self.rows, self.accepts.tolist()
+        out = []
+        for i in range(end - 1, begin - 1, -1):
+            state = rows[state][classes[data[i]]]
+            if accepts[state]:
+                out.append(i)
+        return out[::-1]
+
     def _list(self) -> list[int]:
         if not hasattr(self, "_classes"):
             self._classes = self.class_of.tolist()
@@ -244,13 +262,24 @@ def scan_pieces(dfa: Automaton, data: np.ndarray, cut: np.ndarray, longest: int
     first = np.isin(begin, cut)
     used = np.zeros(len(begin), np.int32)
     end, met = _advance(dfa, kinds, begin, length, used)
-    while True:
+    for _ in range(16):
         want = np.where(first, 0, np.append(0, end[:-1])).astype(np.int32)
         again = np.flatnonzero(want != used)
         if not len(again):
             break
         used[again] = want[again]
         end[again], met[again] = _advance(dfa, kinds, begin[again], length[again], used[again])
+    else:  # few long pieces are left, whose chunks wait for one another
+        accepts = dfa.accepts.tolist()
+        for c in np.flatnonzero(np.where(first, 0, np.append(0, end[:-1])) != used).tolist():
+            while c < len(begin) and not first[c] and end[c - 1] != used[c]:
+                state = used[c] = end[c - 1]
+                bits = 0
+                for kind in kinds[begin[c] : begin[c] + length[c]].tolist():
+                    state = dfa.rows[state][kind]
+                    bits |= accepts[state]
+                end[c], met[c] = state, bits
+                c += 1
     out = np.zeros(len(cut) - 1, np.int64)
     np.bitwise_or.at(out, np.searchsorted(cut, begin, side="right") - 1, met)
     return out

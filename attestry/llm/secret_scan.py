@@ -2,7 +2,8 @@
 
 All rules are compiled together: subset construction and minimisation give one transition array, and one pass over the bytes of
 many pieces of text at once tells which rules match in which piece. Pieces are cut at bytes after which no match goes on (the
-automaton says which), so no match is cut. Only pieces with a match are read again, rule by rule, from the left, for spans.
+automaton says which), so no match is cut. Only pieces with a match are read again, once backwards by the rule's reversed automaton for the
+places where a match begins, then forwards from these for spans: time follows the length of a text whatever it holds.
 
 Spans are leftmost, longest and do not overlap within a rule; a rule's ``least`` then drops short ones. Places are code points.
 
@@ -60,22 +61,19 @@ class Scanner:
         self.head = [Automaton([r.head], search=False) if r.head else None for r in rules]
         # no match of any rule holds these bytes
         self.cuts = np.all([a.kills() for a in self.one], axis=0)
-        self.first = [frozenset(np.flatnonzero((np.array(a.rows[0]) != a.dead)[a.class_of]).tolist()) for a in self.one]
+        self.back = [Automaton([r.pattern], search=True, reverse=True) for r in rules]
 
     def spans(self, data: bytes, begin: int, end: int, rule: int) -> list[tuple[int, int]]:
-        """Byte spans of one rule in a piece."""
-        out, at, dfa, first = [], begin, self.one[rule], self.first[rule]
-        while at < end:
-            if data[at] not in first or (to := dfa.longest(data, at, end)) < 0:
-                at += 1
+        """Byte spans of one rule in a piece. Only places from which a match is known to follow are tried, so noise is read once."""
+        out, at, dfa, head = [], begin, self.one[rule], self.head[rule]
+        for start in self.back[rule].begins(data, begin, end):
+            if start < at:
                 continue
-            value = at
-            if self.head[rule]:
-                # the value begins behind the longest head that leaves at least one byte of value
-                value = max(v for v in range(at + 1, to) if self.head[rule].longest(data, at, v) == v)
-            if to - value >= self.rules[rule].least:
-                out.append((at, to))
-            at = max(to, at + 1)
+            at = dfa.longest(data, start, end)
+            # the value begins behind the longest head that leaves at least one byte of value
+            value = head.longest(data, start, at - 1) if head else start
+            if at - value >= self.rules[rule].least:
+                out.append((start, at))
         return out
 
     def scan(self, data: np.ndarray, offsets: np.ndarray) -> Iterator[list[tuple[int, int, int]]]:
