@@ -37,6 +37,14 @@ def _i64(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64) if x.dtype == U64 else x.astype(np.int64))
 
 
+def _once(hashes: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct pairs, so that a text that says one thing over and over sends it once."""
+    order = np.lexsort((of, hashes))
+    hashes, of = hashes[order], of[order]
+    new = np.append(True, (hashes[1:] != hashes[:-1]) | (of[1:] != of[:-1]))[: len(hashes)]
+    return hashes[new], of[new]
+
+
 def _prints(batches: Iterator[pa.RecordBatch], span: int, k: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         keys = batch.column(0).to_numpy()
@@ -44,7 +52,8 @@ def _prints(batches: Iterator[pa.RecordBatch], span: int, k: int) -> Iterator[pa
             words = Words(data, offsets, SPACE, False)
             doc_of = words.doc_of_word()
             place, prints = _fingerprint_places(words.hashes(), doc_of, span, k)
-            yield pa.RecordBatch.from_arrays([_i64(prints), _i64(keys[at + doc_of[place]])], ["fp", "key"])
+            prints, of = _once(prints, doc_of[place])
+            yield pa.RecordBatch.from_arrays([_i64(prints), _i64(keys[at + of])], ["fp", "key"])
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -119,8 +128,8 @@ def _windows(batches: Iterator[pa.RecordBatch], span: int) -> Iterator[pa.Record
             h = runs(data[offsets[a] : offsets[z]], span)
             of = np.repeat(np.arange(a, z), counts[a:z])
             ok = of[: len(h)] == of[span - 1 : span - 1 + len(h)]
-            of = of[: len(h)][ok]
-            yield pa.RecordBatch.from_arrays([_i64(h[ok]), _i64(keys[of]), _i64(ids[of])], ["h", "key", "row"])
+            h, of = _once(h[ok], of[: len(h)][ok])
+            yield pa.RecordBatch.from_arrays([_i64(h), _i64(keys[of]), _i64(ids[of])], ["h", "key", "row"])
 
 
 def _owners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
