@@ -85,11 +85,83 @@ def test_sharding_versions(spark, tmp_path):
     assert store.version() == 5 and len(store.shards()) < len(before)
     assert sorted(r[0] for r in store.read().collect()) == list(range(400)) and store.read(4).count() == 400
     with pytest.raises(RuntimeError):
-        store._commit(before, 5)
+        store._commit(before, [], 5)
     store.vacuum()
     assert store.read().count() == 400
 
 
+def test_sharding_two_writers(spark, tmp_path):
+    """Of writers that commit the same version at once just one succeeds, and its version is whole."""
+    import threading
+
+    root = f"file://{tmp_path}/s"
+    sharding.ShardStore(spark, root).append(spark.range(10))
+    stores = [sharding.ShardStore(spark, root) for _ in range(8)]
+    files = {i: [sharding.Shard(f"{root}/data/v2-a-x/part-{i:05d}.parquet", i, 1, 0, 2)] for i in range(8)}
+    done, start = [], threading.Barrier(8)
+
+    def write(i):
+        start.wait()
+        try:
+            stores[i]._commit(files[i], [], 2)
+            done.append(i)
+        except RuntimeError:
+            pass
+
+    threads = [threading.Thread(target=write, args=(i,)) for i in range(8)]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()
+    assert len(done) == 1
+    assert [s.rows for s in stores[0].shards(2) if s.version == 2] == [done[0]]
+
+
+def test_sharding_tiers(spark, tmp_path):
+    """Only tiers with enough shards merge, into a higher tier, and a tier completed that way merges too."""
+    store = sharding.ShardStore(spark, f"file://{tmp_path}/s", target_bytes=1 << 20, small_bytes=4 << 10, fanout=3, snapshot=2)
+    store.append(spark.range(20_000).repartition(2))
+    big = {s.path for s in store.shards()}
+    assert {s.tier for s in store.shards()} == {store.tier(store.shards()[0].bytes)} and store.shards()[0].tier > 0
+    for i in range(2):
+        store.append(spark.range(i, i + 1).coalesce(1))
+    assert store.compact() == 3
+    store.append(spark.range(5, 6).coalesce(1))
+    assert store.compact() == 5
+    left = store.shards()
+    assert big < {s.path for s in left} and len(left) == 3
+    assert sorted(r[0] for r in store.read().collect()) == sorted([*range(20_000), 0, 1, 5])
+    assert store.read(4).count() == 20_003 and store.read(1).count() == 20_000
+    clash = store.append(spark.range(3).withColumn("row", F.lit(7)))
+    assert clash == 6
+    store.vacuum()
+    assert store.version() == 6
+
+
+def test_sharding_places_names(spark, tmp_path):
+    docs = spark.createDataFrame([(i, "own", i * 2) for i in range(9)], "id bigint, shard string, row bigint")
+    runs = []
+    for name in "ab":
+        rows = sharding.shard(docs, f"file://{tmp_path}/{name}").places("id", "shard", "row").collect()
+        assert {(r["id"], r["shard"], r["row"]) for r in rows} == {(i, "own", i * 2) for i in range(9)}
+        runs.append({(r["id"], r["_shard"], r["_row"]) for r in rows})
+    assert runs[0] == runs[1] and len({x[1:] for x in runs[0]}) == 9
+
+
+def test_secret_noise_is_linear():
+    """A million bytes that keep any rule busy, without a match or with one to the end, take seconds."""
+    import time
+
+    import numpy as np
+
+    scanner = secret_scan.Scanner(secret_scan.BASE + secret_scan.MORE)
+    for noise in ("abcdefghij", "eyJabcdefg", "abc://x:yyy", "bearer ", "0123456789abcdef", "ghp_aaaa", "a:b@", "-----BEGIN ", "xoxb-aaaa", "AKIA", "password=", "token "):
+        for text in (noise * (1_000_000 // len(noise)), "password = " + noise * (1_000_000 // len(noise))):
+            data, began = text.encode(), time.time()
+            list(scanner.scan(np.frombuffer(data, np.uint8), np.array([0, len(data)])))
+            assert time.time() - began < 20, noise
+
+
 def test_jaccard_values(spark):
     rows = {(r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard_join.classes(table(spark), k=5, p=80, q=100).collect() if r["doc_id"]}
     want = {(i, *v) for i, v in B.components([(r[0], r[1]) for r in ROWS if r[0]], 5, 80, 100).items()}
