@@ -14,6 +14,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder every executor sees: ``spark.checkpoint.dir``; a temporary one only where it is unset (single-machine tests)."""
     conf = spark.conf.get("spark.checkpoint.dir", None)
     if not conf:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         conf = "file://" + tempfile.gettempdir().rstrip("/") + "/checkpoints"
         spark.conf.set("spark.checkpoint.dir", conf)
     return conf.rstrip("/")
