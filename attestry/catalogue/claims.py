@@ -289,7 +289,13 @@ def change_feed(spark, d):
     return got.select("changeset_id", "created_at", "name", "claims")
 
 
-@query()
+@query(
+    """WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+r AS (SELECT user_id, event_id, n, true AS allowed, [t] AS kept, NULL::INT AS retry_after FROM e WHERE n = 1
+  UNION ALL SELECT user_id, event_id, n, len(k) < 5, CASE WHEN len(k) < 5 THEN list_append(k, t) ELSE k END, CASE WHEN len(k) >= 5 THEN ceil((k[1] + 86400000000 - t) / 1000000)::INT END
+  FROM (SELECT e.*, list_filter(r.kept, lambda x: x > e.t - 86400000000) AS k FROM r JOIN e ON e.user_id = r.user_id AND e.n = r.n + 1))
+SELECT user_id AS "user", event_id AS id, allowed, retry_after FROM r"""
+)
 def rate_limit_decisions(spark, d):
     from ..streaming.jobs import rate_limited
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..plans.specs import EntitySpec, RelationshipSpec, violation
+from ._shared import stored
 
 IDENTITY = ("entity_type", "entity_id", "claim_key")
 COMPARED = ("value", "citation", "needs_review", "needs_review_notes", "license_id")
@@ -144,8 +145,9 @@ def applied(claims: DataFrame, pending: DataFrame, source_id: int, sweep: list[s
 
 
 def numbered(rows: DataFrame, order: list[str], ranges: int = 64) -> DataFrame:
-    """``number`` from 1 in the order of columns, without one task for all rows: range partitions, sizes summed, places within."""
-    placed = rows.repartitionByRange(ranges, *order).withColumn("_part", F.spark_partition_id())
+    """``number`` from 1 in the order of columns, without one task for all rows: range partitions, sizes summed, places within. The ranges
+    are stored once, as their bounds come from a sample and would differ each time they are made."""
+    placed = stored(rows.repartitionByRange(ranges, *order).withColumn("_part", F.spark_partition_id()), "numbered")
     sizes = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).select("_part", "_before")
     inner = F.row_number().over(W.partitionBy("_part").orderBy(*order))
@@ -169,14 +171,20 @@ def changesets(claims: DataFrame, first_id: int = 1) -> DataFrame:
 
 
 def plan_faults(entities: DataFrame, assertions: DataFrame) -> DataFrame:
-    """What is wrong with a plan before anything is written: (fault, handle). Entities have handle and seq, assertions handle (of a planned
-    entity) or entity_id, and refs (handles in their values)."""
+    """What is wrong with a plan before anything is written: (fault, handle). Entities have handle, seq and refs (handles of entities that must be
+    made before them), assertions handle (of a planned entity) or entity_id, and refs (handles in their values)."""
     twice = entities.groupBy("handle").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.lit("duplicate handle").alias("fault"), "handle")
     both = assertions.filter("(handle IS NULL) = (entity_id IS NULL)").select(F.lit("needs one of handle and entity").alias("fault"), "handle")
     known = entities.select("handle").distinct()
     refs = assertions.select(F.explode("refs").alias("handle")).unionByName(assertions.filter("handle IS NOT NULL").select("handle")).distinct()
     unknown = refs.join(known, "handle", "left_anti").select(F.lit("unknown handle").alias("fault"), "handle")
-    return twice.unionByName(both).unionByName(unknown)
+    faults = twice.unionByName(both).unionByName(unknown)
+    if "refs" in entities.columns:
+        needs = entities.select("handle", "seq", F.explode("refs").alias("_ref"))
+        made = entities.groupBy(F.col("handle").alias("_ref")).agg(F.min("seq").alias("_made"))
+        early = needs.join(made, "_ref", "left").filter(F.col("_made").isNull() | (F.col("_made") >= F.col("seq")))
+        faults = faults.unionByName(early.select(F.lit("refers to what is not made yet").alias("fault"), "handle").distinct())
+    return faults
 
 
 def with_handles(assertions: DataFrame, entities: DataFrame, next_id: int) -> DataFrame:

@@ -2,36 +2,26 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-
-def _stored(df: DataFrame) -> DataFrame:
-    """Written to the shared folder and read back, so that rounds don't pile up in one plan."""
-    spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.gettempdir().rstrip("/") + "/checkpoints"
-    path = f"{root.rstrip('/')}/attestry-closure-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from ._shared import stored
 
 
 def closure(edges: DataFrame, child: str = "child", parent: str = "parent", include_self: bool = True) -> DataFrame:
     """(ancestor, descendant) of a graph of child-parent edges, cycles allowed. Paths double each round, so rounds follow the logarithm of
-    the depth; each pair is kept once."""
-    paths = edges.select(F.col(parent).alias("ancestor"), F.col(child).alias("descendant")).distinct()
-    count = -1
-    while True:
-        paths = _stored(paths)
-        now = paths.count()
-        if now == count:
-            break
-        count = now
-        onward = paths.select(F.col("ancestor").alias("_via"), F.col("descendant").alias("_to"))
-        longer = paths.join(onward, F.col("descendant") == F.col("_via")).select("ancestor", F.col("_to").alias("descendant"))
-        paths = paths.unionByName(longer).distinct()
+    the depth; only pairs that are new go into the next round, and each pair is kept once."""
+    new = stored(edges.select(F.col(parent).alias("ancestor"), F.col(child).alias("descendant")).distinct(), "closure")
+    paths = new
+
+    def joined(upper: DataFrame, lower: DataFrame) -> DataFrame:
+        below = lower.select(F.col("ancestor").alias("_via"), F.col("descendant").alias("_to"))
+        return upper.join(below, F.col("descendant") == F.col("_via")).select("ancestor", F.col("_to").alias("descendant"))
+
+    while not new.isEmpty():
+        longer = joined(new, paths).unionByName(joined(paths, new)).distinct()
+        new = stored(longer.join(paths, ["ancestor", "descendant"], "left_anti"), "closure")
+        paths = paths.unionByName(new)
     if not include_self:
         return paths.filter("ancestor <> descendant")
     nodes = edges.select(F.col(child).alias("ancestor")).unionByName(edges.select(F.col(parent).alias("ancestor"))).distinct()
@@ -40,7 +30,7 @@ def closure(edges: DataFrame, child: str = "child", parent: str = "parent", incl
 
 def rollup_counts(nodes: DataFrame, paths: DataFrame, bridge: DataFrame, node: str, member: str) -> DataFrame:
     """For each node the number of distinct members of it and its descendants; nodes without members count 0."""
-    of = paths.join(bridge.select(F.col(node).alias("descendant"), F.col(member).alias("_member")), "descendant")
+    of = paths.join(bridge.select(F.col(node).alias("descendant"), F.col(member).alias("_member")).distinct(), "descendant")
     counts = of.groupBy("ancestor").agg(F.countDistinct("_member").alias("members"))
     return nodes.select(F.col(node)).join(counts, F.col(node) == F.col("ancestor"), "left").select(node, F.coalesce("members", F.lit(0)).alias("members"))
 

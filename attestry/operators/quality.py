@@ -7,6 +7,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 FINDING = ("severity", "check", "subject", "detail")
 Check = Callable[[dict[str, DataFrame]], DataFrame]
@@ -65,5 +66,10 @@ def findings(tables: dict[str, DataFrame], names: list[str] | None = None) -> Da
 
 def tallies(found: DataFrame, examples: int = 5) -> DataFrame:
     """Findings by check: how many, and the first few subjects."""
-    g = found.groupBy("severity", "check").agg(F.count(F.lit(1)).alias("n"), F.slice(F.sort_array(F.collect_set("subject")), 1, examples).alias("examples"))
-    return g.orderBy(F.desc("n"), "check")
+    counts = found.groupBy("severity", "check").agg(F.count(F.lit(1)).alias("n"))
+    # first the least subjects of each part of a check, then the least of these: no task holds all subjects of a check
+    parts = found.select("severity", "check", "subject").distinct().withColumn("_part", F.pmod(F.xxhash64("subject"), F.lit(64)))
+    part = W.partitionBy("severity", "check", "_part").orderBy("subject")
+    least = parts.withColumn("_place", F.row_number().over(part)).filter(F.col("_place") <= examples)
+    shown = least.groupBy("severity", "check").agg(F.slice(F.sort_array(F.collect_list("subject")), 1, examples).alias("examples"))
+    return counts.join(shown, ["severity", "check"], "left").orderBy(F.desc("n"), "check")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import math
+from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
@@ -14,31 +14,35 @@ from pyspark.sql.streaming.query import StreamingQuery
 from ..operators.resolve import winners
 
 
-def decisions(times: list[float], limit: int, seconds: float, kept: list[float] | None = None) -> tuple[list[tuple[bool, int | None]], list[float]]:
-    """Allowed or not for each time in order, and the seconds to wait if not; refused requests don't count. ``kept`` are earlier allowed times."""
-    kept, out = list(kept or []), []
-    for t in times:
-        kept = [x for x in kept if x > t - seconds]
-        if len(kept) >= limit:
-            out.append((False, math.ceil(kept[0] + seconds - t)))
-        else:
-            kept.append(t)
-            out.append((True, None))
-    return out, kept
+def decide(at: int, kept: deque[int], limit: int, width: int) -> tuple[bool, int | None]:
+    """Allowed or not, and the whole seconds to wait if not. ``kept`` has the allowed times of the window, in microseconds, and is brought
+    up to date; refused requests don't count."""
+    while kept and kept[0] <= at - width:
+        kept.popleft()
+    if len(kept) >= limit:
+        return False, -((at - kept[0] - width) // 1_000_000)
+    kept.append(at)
+    return True, None
 
 
 def rate_limited(events: DataFrame, user: str, at: str, id_: str, limit: int, seconds: int) -> DataFrame:
-    """Batch form: (user, id, allowed, retry_after). A user's requests are judged in time order, which only a fold can do; the fold holds the
-    times of one user and no other columns."""
+    """Batch form: (user, id, allowed, retry_after). A user's requests are judged in time order, which only a fold can do: sorted rows are
+    streamed and at most ``limit`` times of one user are in memory, however many requests there are."""
     rows = events.select(F.col(user).alias("user"), F.col(id_).alias("id"), F.unix_micros(F.col(at).cast("timestamp")).alias("at"))
 
-    def fold(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["at", "id"])
-        out, _ = decisions((group["at"] / 1e6).tolist(), limit, seconds)
-        return pd.DataFrame({"user": group["user"], "id": group["id"], "allowed": [a for a, _ in out], "retry_after": pd.array([r for _, r in out], dtype="Int32")})
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        who, kept = None, deque()
+        for batch in batches:
+            out = []
+            for name, time in zip(batch["user"], batch["at"].tolist(), strict=True):
+                if name != who:
+                    who, kept = name, deque()
+                out.append(decide(time, kept, limit, seconds * 1_000_000))
+            yield pd.DataFrame({"user": batch["user"], "id": batch["id"], "allowed": [a for a, _ in out], "retry_after": pd.array([r for _, r in out], dtype="Int32")})
 
     kind = rows.schema["user"].dataType.simpleString()
-    return rows.groupBy("user").applyInPandas(fold, f"user {kind}, id {rows.schema['id'].dataType.simpleString()}, allowed boolean, retry_after int")
+    dealt = rows.repartition("user").sortWithinPartitions("user", "at", "id")
+    return dealt.mapInPandas(fold, f"user {kind}, id {rows.schema['id'].dataType.simpleString()}, allowed boolean, retry_after int")
 
 
 class RateLimiter(StatefulProcessor):
@@ -48,13 +52,13 @@ class RateLimiter(StatefulProcessor):
         self.limit, self.seconds = limit, seconds
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.kept = handle.getListState("kept", "at double")
+        self.kept = handle.getListState("kept", "at bigint")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         group = pd.concat(list(rows)).sort_values(["at", "id"])
-        before = [r[0] for r in self.kept.get()] if self.kept.exists() else []
-        out, after = decisions((group["at"] / 1e6).tolist(), self.limit, self.seconds, before)
-        self.kept.put([(t,) for t in after])
+        kept = deque(r[0] for r in self.kept.get()) if self.kept.exists() else deque()
+        out = [decide(t, kept, self.limit, self.seconds * 1_000_000) for t in group["at"].tolist()]
+        self.kept.put([(t,) for t in kept])
         yield pd.DataFrame({"user": [key[0]] * len(group), "id": group["id"].tolist(), "allowed": [a for a, _ in out], "retry_after": pd.array([r for _, r in out], dtype="Int32")})
 
     def close(self) -> None:
