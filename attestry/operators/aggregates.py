@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -92,3 +94,21 @@ def after(rows: DataFrame, at: Column, id_: Column, cursor: tuple | None, size:
         t, i = F.lit(cursor[0]), F.lit(cursor[1])
         rows = rows.filter((at <= t) & ((at < t) | (id_ < i)))
     return rows.orderBy(at.desc(), id_.desc()).limit(size + 1)
+
+
+def by_ids(rows: DataFrame, key: str, ids: list[int], most: int = 50) -> DataFrame:
+    """Rows of a short list of ids, with their place in it, in that order; ids that aren't there are left out, repeated ones count once. A list of
+    more than ``most`` ids is refused."""
+    known = rows.select(key)
+    wanted = list(dict.fromkeys(ids))
+    if len(wanted) > most:
+        raise ValueError(f"{len(wanted)} ids, at most {most}")
+    spark = rows.sparkSession
+    listed = spark.createDataFrame([(i, n) for n, i in enumerate(wanted)], f"{key} {known.schema[key].dataType.simpleString()}, _n int")
+    found = rows.join(F.broadcast(listed), key)
+    return found.withColumn("place", F.row_number().over(W.orderBy("_n"))).drop("_n").orderBy("place")  # at most ``most`` rows
+
+
+def labelled(tables: dict[str, DataFrame]) -> DataFrame:
+    """Rows of several tables of the same columns, with where they are from."""
+    return reduce(lambda a, b: a.unionByName(b), [t.select(F.lit(origin).alias("origin"), "*") for origin, t in tables.items()])

@@ -129,3 +129,45 @@ def unclaimed_check(rows: DataFrame, rules: dict[str, str]) -> DataFrame:
     """Cross-field rules (name to SQL condition): rows that break one, with its name."""
     broken = F.filter(F.array(*[F.when(~F.coalesce(F.expr(c), F.lit(True)), F.lit(n)) for n, c in rules.items()]), lambda x: x.isNotNull())
     return rows.withColumn("broken", F.explode(broken))
+
+
+def aliases_of(won: DataFrame, existing: DataFrame, namespace: str = "alias") -> DataFrame:
+    """Alias table from winners: one row an (entity, lower-case alias) with the spelling to show; action create, update (other spelling), delete or keep."""
+    said = related(won, namespace, {"alias": "string", "display": "string"}).select("entity_id", "alias", F.coalesce("display", "alias").alias("display"))
+    return materialization(said, existing.select("entity_id", F.lower("display").alias("alias"), "display"), ["entity_id", "alias"], ["display"])
+
+
+def in_dependency_order(specs: list[EntitySpec]) -> list[EntitySpec]:
+    """Entities after those that their fields name; ties by name. A circle of entities is an error."""
+    left, done, out = {s.name: s for s in specs}, set(), []
+    while left:
+        ready = sorted(n for n, s in left.items() if all(f.target in (None, n) or f.target in done or f.target not in left for f in s.fields))
+        if not ready:
+            raise ValueError(f"entities depend on one another: {sorted(left)}")
+        for n in ready:
+            out.append(left.pop(n))
+            done.add(n)
+    return out
+
+
+def resolve_all(won: DataFrame, specs: list[EntitySpec], before: dict[str, DataFrame] | None = None) -> dict[str, DataFrame]:
+    """All entities' wide tables, each with the ids of those it names (``<field>_id``): those that others name come first. ``before`` has the
+    tables as they were; one that is not there starts from its claims."""
+    before, out = before or {}, {}
+    for spec in in_dependency_order(specs):
+        rows = wide(won, spec, before.get(spec.name))
+        names = {f.target for f in spec.fields if f.target}
+        out[spec.name] = with_targets(rows, spec, {n: t for n, t in {**before, **out}.items() if n in names})
+    return out
+
+
+def resolve_touched(won: DataFrame, specs: list[EntitySpec], touched: DataFrame, before: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """Only the entities in ``touched`` (entity_type, entity_id, field_name), and of them only kinds with a field that was touched; other rows stay."""
+    out = {}
+    for spec in specs:
+        fields = [f.name for f in spec.fields]
+        hit = touched.filter((F.col("entity_type") == spec.name) & (F.col("field_name").isin(*fields) | F.lit(spec.extra))).select("entity_id").distinct()
+        was = before[spec.name]
+        rows = wide(won.join(hit, "entity_id", "left_semi"), spec, was.join(hit, "entity_id", "left_semi"))
+        out[spec.name] = was.join(hit, "entity_id", "left_anti").unionByName(rows.select(*was.columns))
+    return out
