@@ -128,7 +128,7 @@ def relative_date(at: Column, now: Column) -> Column:
     )
 
 
-@F.pandas_udf("array<struct<op:string,text:string>>")
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("op", T.StringType()), T.StructField("text", T.StringType())])))
 def word_diff(old: pd.Series, new: pd.Series) -> pd.Series:
     """Runs of words that two texts share (same), only the first has (del) or only the second (ins)."""
 
