@@ -140,17 +140,18 @@ def _calibrated(model: Model, held: list[tuple[str, int]], reject: float) -> Mod
     return model
 
 
-def sample(docs: DataFrame, per_lang: int, text: str = "text", label: str = "lang", key: str = "doc_id") -> tuple[list[str], list[str]]:
-    """Texts and labels of about ``per_lang`` rows (never above 1.5 times) of each language, chosen by a hash of the id; always in the same order."""
+def sample(docs: DataFrame, per_lang: int, text: str = "text", label: str = "lang", key: str = "doc_id", longest: int = 100_000, most_langs: int = 400) -> tuple[list[str], list[str]]:
+    """Texts and labels of about ``per_lang`` rows (never above 1.5 times on average) of each language, chosen by a hash of the id and always in
+    the same order. What comes to the driver is bounded: texts of more than ``longest`` characters are not learned from, and of the labels
+    the ``most_langs`` most frequent ones."""
     rows = docs.select(F.col(f"`{key}`").cast("string").alias("key"), F.col(f"`{text}`").alias("text"), F.col(f"`{label}`").alias("lang"))
-    rows = rows.filter("lang IS NOT NULL AND text IS NOT NULL")
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
-    ticket = F.pmod(F.xxhash64(F.lit("sample"), "key"), F.lit(1 << 30))
+    rows = rows.filter("lang IS NOT NULL AND text IS NOT NULL").filter(F.length("text") <= longest)
+    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_langs).collect()}
+    ticket = F.pmod(F.xxhash64(F.lit("sample"), F.coalesce("key", "text")), F.lit(1 << 30))
     chance: Column = F.lit(False)
-    for lang, n in counts.items():
+    for lang, n in sorted(counts.items()):
         chance = chance | ((F.col("lang") == lang) & (ticket < min(1 << 30, int((1 << 30) * per_lang / n))))
-    got = rows.withColumn("ticket", ticket).filter(chance).limit(int(1.5 * per_lang * len(counts))).collect()
-    got.sort(key=lambda r: (r["ticket"], r["key"] or "", r["text"]))
+    got = rows.withColumn("ticket", ticket).filter(chance).orderBy("ticket", "key", "text", "lang").limit(int(1.5 * per_lang * len(counts))).collect()
     return [r["text"] for r in got], [r["lang"] for r in got]
 
 

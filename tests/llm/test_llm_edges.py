@@ -281,3 +281,25 @@ def test_mix_matches_targets(spark):
     goal = B.targets(sums)
     assert all(abs(taken[s] - goal[s]) <= 1 for s in goal)
     assert Counter(r["doc_id"] for r in mixing.mix(docs, rows_per_range=50).collect()) == B.mixed([(i, s, t) for i, t, _, s in rows])
+
+
+def test_sample_is_bounded(spark):
+    rows = [(i if i % 5 else None, f"text number {i} " + ("x" * 500 if i == 3 else ""), f"l{i % 7}", "a") for i in range(700)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")
+    got = [language_id.sample(d, 20, longest=400, most_langs=5) for d in (docs, docs.repartition(5))]
+    assert got[0] == got[1] and len(set(got[0][1])) <= 5 and len(got[0][0]) <= 150 and all(len(t) <= 400 for t in got[0][0])
+
+
+def test_pipeline_edges(spark, tmp_path):
+    """Nulls, repeated and empty rows, clashing columns, and an empty table, through all stages."""
+    import corpus_pipeline as P
+
+    for name, rows, known, want in (("some", ROWS, ITEMS, set()), ("clean", ROWS, ITEMS[:3], {5}), ("none", [], ITEMS, set())):
+        folder = f"file://{tmp_path}/{name}"
+        table(spark, rows).withColumn("n_chars", F.length("text")).write.parquet(f"{folder}/documents.parquet")
+        items(spark, known).write.parquet(f"{folder}/benchmark.parquet")
+        # only the two long texts pass the rules; they are near-duplicates, and one item stands in them
+        assert {r["doc_id"] for r in P.run(spark, folder).collect()} == want
+        kept = P.near_duplicates(spark, P.quality(spark, spark.read.parquet(f"{folder}/documents.parquet"), folder), folder)
+        assert kept.columns == ["doc_id", "text", "lang", "source", *CLASH, "n_chars"]
+        assert [r["doc_id"] for r in kept.collect()] == ([5] if rows else [])
