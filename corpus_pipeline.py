@@ -4,6 +4,10 @@ Each stage works on all rows that the one before kept and returns the columns of
 source and length of each row of the mixture with the tier and version of its shard, not the shard's name or the row in it. Stages: quality rules (rejected documents go), N-gram Jaccard join (five words, 0.8; the smallest id of each
 group stays), benchmark decontamination (contaminated documents go), mixing (rows repeated or left out to meet the sources' targets),
 sharding (size-tiered shards with a versioned manifest).
+
+Defined cases: null and empty texts fail the quality stage (no words), so they go; rows without an id are kept or dropped by their text as others
+are; repeated rows are near-duplicates of one another, one stays; an empty table gives an empty result; extra columns of documents,
+whatever their names, are passed through up to the last stage. Each stage's table is deleted once the next one is written.
 """
 
 from __future__ import annotations
@@ -14,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from attestry.llm import decontamination, jaccard_join, mixing, quality_rules, sharding
-from attestry.llm._spark import load, shared_dir, stage
+from attestry.llm._spark import load, release, shared_dir, stage
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,11 +46,14 @@ STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("benchmar
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = load(spark, sf_dir, "documents")
+    docs, before = load(spark, sf_dir, "documents"), None
     for i, (name, step) in enumerate(STAGES):
         docs = step(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
             docs = stage(docs, name)
+        if before is not None:
+            release(spark, before)  # the step has written all it takes from there
+        before = docs
     return docs
 
 
