@@ -100,8 +100,8 @@ def touched_changesets(spark, d):
 @query("SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY first) AS place FROM (SELECT user_id, event_type, min((ts, event_id)) AS first FROM events GROUP BY 1, 2)")
 def numbers_by_appearance(spark, d):
     """Each kind numbered by when it first appears in a user's list."""
-    g = table(spark, d, "events").groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ts", "event_id", "event_type"))), lambda x: x["event_type"]).alias("kinds"))
-    return g.select("user_id", "kinds", F.explode(F.array_distinct("kinds")).alias("event_type")).select("user_id", "event_type", D.appearance(F.col("kinds"), F.col("event_type")).alias("place"))
+    first = table(spark, d, "events").groupBy("user_id", "event_type").agg(F.min(F.struct("ts", "event_id")).alias("first"))
+    return first.select("user_id", "event_type", F.row_number().over(W.partitionBy("user_id").orderBy("first")).alias("place"))
 
 
 @query(

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import quality as Q
+from ..operators.resolve import winners
 from ..sources.readers import table, tables
 from ._registry import query
+from .claims import EFFECTIVE_SQL, effective, event_claims
 
 
 @Q.check("nameless_parts", "error")
@@ -39,6 +41,58 @@ def _self(t):
     return Q.self_references(t["nation"], "n_nationkey", "n_regionkey")
 
 
+_ENTITY_CHECKS = list(Q.CHECKS)
+
+
+@Q.check("claims_without_entity", "warning")
+def _orphaned(t):
+    entities = t["customer"].filter("c_custkey % 10 <> 0").select(F.lit("user").alias("entity_type"), F.col("c_custkey").alias("entity_id"))
+    return Q.orphaned(t["claims"], entities)
+
+
+@Q.check("purchases_without_part", "warning")
+def _unresolved(t):
+    return Q.unresolved(t["won"], "purchase", F.col("value").cast("bigint"), t["part"].filter("p_partkey % 10 <> 1"), "p_partkey")
+
+
+@Q.check("supplies_without_claim", "info")
+def _unclaimed(t):
+    cut = F.lit("1999-01-01").cast("timestamp_ntz")
+    return Q.unclaimed(t["lineitem"], ["l_suppkey", "l_partkey"], t["lineitem"].filter(F.col("l_shipdate") >= cut))
+
+
+@Q.check("uncurated_customers", "info")
+def _uncurated(t):
+    return Q.uncurated(t["customer"], "c_custkey", t["claims"], 1, "signup")
+
+
+@Q.check("variant_chains", "warning")
+def _chained(t):
+    return Q.chained(t["part"].withColumn("variant_of", F.when(F.col("p_partkey") % 3 == 0, F.expr("p_partkey div 2"))), "p_partkey", "variant_of")
+
+
+@Q.check("customers_without_pending_order", "warning")
+def _childless(t):
+    return Q.childless(t["customer"], "c_custkey", t["orders"].filter("o_orderstatus = 'P'"), "o_custkey")
+
+
+@Q.check("orders_to_review", "info")
+def _flagged(t):
+    return Q.flagged(t["orders"], "o_orderkey", (F.col("o_orderpriority") == "1-URGENT") & (F.col("o_orderstatus") == "P"))
+
+
+@Q.check("same_supplier_names", "warning")
+def _same_suppliers(t):
+    return Q.same_names(t["supplier"].withColumn("name", F.substring("s_name", -1, 1)), "name")
+
+
+@Q.check("orders_without_year", "info")
+def _unset_year(t):
+    return Q.unset(t["orders"].withColumn("year", F.when(F.col("o_orderstatus") != "P", F.year("o_orderdate"))), "o_orderkey", "year")
+
+
+_CLAIM_CHECKS = [n for n in Q.CHECKS if n not in _ENTITY_CHECKS]
+
 _FINDINGS = """f AS (SELECT 'error' AS severity, 'nameless_parts' AS "check", p_partkey::VARCHAR AS subject, 'no name' AS detail FROM part WHERE p_partkey % 97 = 0 OR p_name IS NULL OR trim(p_name) = ''
 UNION ALL SELECT DISTINCT 'error', 'users_without_customer', user_id::VARCHAR, 'no such entity' FROM events WHERE user_id NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 10 <> 0)
 UNION ALL SELECT 'warning', 'labels_without_document', doc_id::VARCHAR, 'no such entity' FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE doc_id % 10 <> 3)
@@ -49,7 +103,7 @@ _TABLES = ("part", "events", "customer", "labels", "documents", "nation")
 
 
 def _found(spark, d):
-    return Q.findings(dict(zip(_TABLES, tables(spark, d, *_TABLES), strict=True)))
+    return Q.findings(dict(zip(_TABLES, tables(spark, d, *_TABLES), strict=True)), _ENTITY_CHECKS)
 
 
 @query(f"WITH {_FINDINGS} SELECT * FROM f")
@@ -63,6 +117,25 @@ def dq_tallies(spark, d):
     return Q.tallies(_found(spark, d)).withColumn("examples", F.array_join("examples", ","))
 
 
+@query(
+    f"""WITH {EFFECTIVE_SQL}, v AS (SELECT p_partkey AS k, CASE WHEN p_partkey % 3 = 0 THEN p_partkey // 2 END AS up FROM part)
+SELECT 'warning' AS severity, 'claims_without_entity' AS "check", entity_id::VARCHAR AS subject, 'claims about a missing user' AS detail FROM claims WHERE entity_id NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 10 <> 0) GROUP BY entity_id
+UNION ALL SELECT DISTINCT 'warning', 'purchases_without_part', value, 'no target for purchase' FROM ranked WHERE rn = 1 AND claim_key = 'purchase' AND value IS NOT NULL AND value::BIGINT NOT IN (SELECT p_partkey FROM part WHERE p_partkey % 10 <> 1)
+UNION ALL SELECT 'info', 'supplies_without_claim', l_suppkey || ':' || l_partkey, 'no active claim' FROM lineitem GROUP BY l_suppkey, l_partkey HAVING max(l_shipdate) < TIMESTAMP '1999-01-01'
+UNION ALL SELECT 'info', 'uncurated_customers', c_custkey::VARCHAR, 'no curated signup' FROM customer WHERE c_custkey NOT IN (SELECT entity_id FROM claims WHERE source_id = 1 AND claim_key = 'signup')
+UNION ALL SELECT 'warning', 'variant_chains', a.k::VARCHAR, 'variant of variant ' || a.up FROM v a JOIN v b ON a.up = b.k WHERE b.up IS NOT NULL
+UNION ALL SELECT 'warning', 'customers_without_pending_order', c_custkey::VARCHAR, 'has no rows' FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')
+UNION ALL SELECT 'info', 'orders_to_review', o_orderkey::VARCHAR, 'needs review' FROM orders WHERE o_orderpriority = '1-URGENT' AND o_orderstatus = 'P'
+UNION ALL SELECT 'warning', 'same_supplier_names', lower(right(s_name, 1)), count(*) || ' rows' FROM supplier GROUP BY 3 HAVING count(*) > 1
+UNION ALL SELECT 'info', 'orders_without_year', o_orderkey::VARCHAR, 'no year' FROM orders WHERE o_orderstatus = 'P'"""
+)
+def dq_claim_findings(spark, d):
+    """Checks of claims against the catalogue, and of what is materialized against the claims."""
+    names = ("part", "customer", "supplier", "orders", "lineitem")
+    t = dict(zip(names, tables(spark, d, *names), strict=True))
+    return Q.findings(t | {"claims": event_claims(spark, d), "won": winners(effective(spark, d))}, _CLAIM_CHECKS)
+
+
 @query(
     """SELECT l.doc_id, d.doc_id IS NULL AS orphan FROM labels l LEFT JOIN (SELECT * FROM documents WHERE doc_id % 10 <> 3) d ON l.doc_id = d.doc_id
 WHERE d.doc_id IS NULL UNION ALL SELECT DISTINCT user_id, false FROM events WHERE user_id NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 10 <> 0)"""

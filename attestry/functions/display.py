@@ -71,11 +71,6 @@ def orderings(named: dict[str, list[Column]], wanted: str | None, fallback: str)
     return named.get(wanted or fallback, named[fallback])
 
 
-def appearance(items: Column, item: Column) -> Column:
-    """Number of an item by first appearance in an array, from 1; null if it isn't there."""
-    return F.nullif(F.array_position(F.array_distinct(items), item), F.lit(0))
-
-
 def overridden(value: Column, table: dict[str, str], otherwise: Column) -> Column:
     """The value's entry in a fixed table, else ``otherwise``."""
     pairs = F.create_map(*[F.lit(x) for kv in table.items() for x in kv]) if table else F.create_map().cast("map<string,string>")

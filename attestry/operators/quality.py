@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from .hierarchy import long_chains
+
 FINDING = ("severity", "check", "subject", "detail")
 Check = Callable[[dict[str, DataFrame]], DataFrame]
 CHECKS: dict[str, Check] = {}
@@ -51,6 +53,48 @@ def unset(rows: DataFrame, id_: str, column: str) -> DataFrame:
     return rows.filter(F.col(column).isNull()).select(F.col(id_).alias("subject"), F.lit(f"no {column}").alias("detail"))
 
 
+def flagged(rows: DataFrame, id_: str, flag: Column) -> DataFrame:
+    return rows.filter(flag).select(F.col(id_).alias("subject"), F.lit("needs review").alias("detail"))
+
+
+def childless(rows: DataFrame, id_: str, children: DataFrame, parent: str) -> DataFrame:
+    """Rows that nothing belongs to."""
+    return rows.join(children.select(F.col(parent).alias("_c")), F.col(id_) == F.col("_c"), "left_anti").select(F.col(id_).alias("subject"), F.lit("has no rows").alias("detail"))
+
+
+def chained(rows: DataFrame, id_: str, parent: str) -> DataFrame:
+    """Variants of variants: one hop is all a chain may have."""
+    return long_chains(rows, id_, parent).select(F.col(id_).alias("subject"), F.concat(F.lit("variant of variant "), F.col(parent).cast("string")).alias("detail"))
+
+
+def orphaned(claims: DataFrame, entities: DataFrame) -> DataFrame:
+    """Entities that active claims speak of and that are not there, each once. ``entities`` has entity_type and entity_id."""
+    keys = ["entity_type", "entity_id"]
+    gone = claims.filter("is_active").select(*keys).distinct().join(entities.select(*keys), keys, "left_anti")
+    return gone.select(F.col("entity_id").alias("subject"), F.concat(F.lit("claims about a missing "), F.col("entity_type")).alias("detail"))
+
+
+def unresolved(won: DataFrame, field: str, target: Column, targets: DataFrame, key: str) -> DataFrame:
+    """Targets that winning claims of a field name and that are not there, each once; ``target`` is the claim's value for a foreign key,
+    a key of its JSON for a relationship."""
+    said = (F.col("claim_key") == field) | F.col("claim_key").startswith(f"{field}|")
+    named = won.filter(said).select(target.alias("subject")).filter("subject IS NOT NULL AND trim(cast(subject AS string)) <> ''").distinct()
+    missing = named.join(targets.select(F.col(key).alias("_t")), F.col("subject") == F.col("_t"), "left_anti")
+    return missing.select("subject", F.lit(f"no target for {field}").alias("detail"))
+
+
+def unclaimed(rows: DataFrame, keys: list[str], claims: DataFrame) -> DataFrame:
+    """Materialized rows that no active claim stands for any more."""
+    left = rows.select(*keys).distinct().join(claims.select(*keys), keys, "left_anti")
+    return left.select(F.concat_ws(":", *[F.col(k).cast("string") for k in keys]).alias("subject"), F.lit("no active claim").alias("detail"))
+
+
+def uncurated(rows: DataFrame, id_: str, claims: DataFrame, source_id: int, field: str) -> DataFrame:
+    """Entities for which the curating source has no active claim of the field: they came with somebody else's data."""
+    by = claims.filter(F.col("is_active") & (F.col("source_id") == source_id) & (F.col("field_name") == field)).select(F.col("entity_id").alias("_e"))
+    return rows.join(by, F.col(id_) == F.col("_e"), "left_anti").select(F.col(id_).alias("subject"), F.lit(f"no curated {field}").alias("detail"))
+
+
 def golden(rows: DataFrame, key: str, expected: DataFrame, fields: list[str]) -> DataFrame:
     """Expected (key, field, value) against rows: missing rows and fields that differ."""
     have = rows.select(F.col(key).alias("_key"), *[F.col(f).cast("string").alias(f) for f in fields]).unpivot("_key", fields, "_field", "_value")

@@ -13,6 +13,7 @@ from attestry.operators import hierarchy as Y
 from attestry.operators import history as H
 from attestry.operators import lifecycle as Z
 from attestry.operators import loads as L
+from attestry.operators import quality as Q
 from attestry.operators import resolve as R
 from attestry.plans.specs import EntitySpec, FieldSpec, RelationshipSpec
 
@@ -203,3 +204,25 @@ def test_loads_refuse(spark):
     assert {(r["parent"], r["parent_id"]) for r in kept.collect()} == {("a", 10), (None, None)} and [tuple(r) for r in lost.collect()] == [("missing parent", "zz")]
     with pytest.raises(L.LoadError, match="zz"):
         L.with_parent(rows, parents, "parent", "slug", "id", must=True)
+
+
+def test_checks_of_claims(spark):
+    rows = [("model", 1, 1, "name", "name", "Ace", True), ("model", 2, 2, "name", "name", "Bee", True), ("model", 3, 1, "name", "name", "Cue", False), ("gone", 9, 1, "name", "name", "x", True), ("gone", 9, 2, "name", "name", "y", True),
+            ("model", 1, 1, "maker", "maker", "acme", True), ("model", 2, 1, "maker", "maker", "nobody", True), ("model", 4, 1, "maker", "maker", " ", True), ("model", 5, 1, "maker", "maker", None, True),
+            ("model", 1, 1, "credit", "credit|person:7", '{"person":7}', True), ("model", 1, 1, "credit", "credit|person:8", '{"person":8}', True), ("model", 1, 1, "credits", "credits", '{"person":99}', True)]
+    claims = spark.createDataFrame(rows, "entity_type string, entity_id bigint, source_id bigint, field_name string, claim_key string, value string, is_active boolean")
+    entities = spark.createDataFrame([("model", i) for i in (1, 2, 4, 5)], "entity_type string, entity_id bigint")
+
+    def found(df):
+        return sorted(r["subject"] for r in df.collect())
+
+    assert found(Q.orphaned(claims, entities)) == [9]
+    assert found(Q.unresolved(claims, "maker", F.col("value"), spark.createDataFrame([("acme",)], "slug string"), "slug")) == ["nobody"]
+    person = F.get_json_object("value", "$.person").cast("bigint")
+    assert found(Q.unresolved(claims, "credit", person, spark.createDataFrame([(7,)], "id bigint"), "id")) == [8]
+    assert found(Q.uncurated(entities, "entity_id", claims, 1, "name")) == [2, 4, 5]
+    credits = spark.createDataFrame([(1, 7), (1, 8), (2, 7), (2, 7)], "model bigint, person bigint")
+    assert found(Q.unclaimed(credits, ["model", "person"], credits.filter("model = 1"))) == ["2:7"]
+    chain = spark.createDataFrame([(1, None), (2, 1), (3, 2), (4, 99)], "id bigint, of bigint")
+    assert found(Q.chained(chain, "id", "of")) == [3] and found(Q.childless(chain, "id", chain, "of")) == [3, 4]
+    assert found(Q.flagged(chain, "id", F.col("of") == 99)) == [4]
