@@ -2,7 +2,7 @@
 
 Each source gets a target of words: the sources, in code point order with null last, share ``share`` times all words by
 ``weights`` (repeating), no target above ``cap`` times its source's words, what is cut off shared again by weight. Within a source
-documents stand in the order of md5(seed, doc_id) and a hash of their text; running sums over that order are made in two
+documents stand in the order of md5(seed, doc_id) and a hash of their text (without an id, of md5(seed, that hash)); running sums over that order are made in two
 levels (sums of hash ranges, then rows within a range), so that a hot source is spread over many tasks. The mix takes whole
 epochs of a source and then documents from the front until the target's exact word, the last one in part.
 
@@ -50,7 +50,8 @@ def targets(sized: DataFrame, weights: tuple[int, ...], share: float, cap: float
 
 def keyed(sized: DataFrame, seed: str, ranges: int) -> DataFrame:
     """Adds order (hash-random) and range (its first bits, ``ranges`` of equal width)."""
-    order = F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
+    name = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("null:"), F.col("content").cast("string")))  # rows without id are spread by their texts
+    order = F.md5(F.concat_ws(":", F.lit(seed), name))
     first = F.conv(F.substring("order", 1, 6), 16, 10).cast("long")
     return sized.withColumn("order", order).withColumn("range", F.floor(first * ranges / F.lit(1 << 24)).cast("int"))
 

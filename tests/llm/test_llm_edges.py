@@ -305,3 +305,12 @@ def test_pipeline_edges(spark, tmp_path):
         kept = P.near_duplicates(spark, P.quality(spark, spark.read.parquet(f"{folder}/documents.parquet"), folder), folder)
         assert kept.columns == ["doc_id", "text", "lang", "source", *CLASH, "n_chars"]
         assert [r["doc_id"] for r in kept.collect()] == ([5] if rows else [])
+
+
+def test_mix_spreads_rows_without_id(spark):
+    rows = [(None if i % 3 else i, f"word {i} " * (i % 9 + 1), None, "a") for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")
+    sized = mixing.keyed(mixing.sizes(docs, "text", "doc_id", "source"), "s", 30)
+    assert max(r["count"] for r in sized.groupBy("range").count().collect()) < 200
+    plan = [sorted(map(tuple, mixing.mix_plan(d, rows_per_range=100).select("size", "before", "taken", "target").collect())) for d in (docs, docs.repartition(7))]
+    assert plan[0] == plan[1] and abs(sum(r[2] for r in plan[0]) - plan[0][0][3]) <= 1
