@@ -226,3 +226,20 @@ def test_checks_of_claims(spark):
     chain = spark.createDataFrame([(1, None), (2, 1), (3, 2), (4, 99)], "id bigint, of bigint")
     assert found(Q.chained(chain, "id", "of")) == [3] and found(Q.childless(chain, "id", chain, "of")) == [3, 4]
     assert found(Q.flagged(chain, "id", F.col("of") == 99)) == [4]
+
+
+def test_vocabulary_edges(spark):
+    from attestry.operators import vocabulary as V
+
+    lines = spark.createDataFrame([(1, None), (2, ""), (3, "Ramps (3). Flipper (left, right), , Bumper ( 2 )"), (4, "Gate (2).")], "id int, line string")
+    got = {r["id"]: [tuple(x) for x in r["parts"]] for r in lines.select("id", V.feature_parts(F.col("line")).alias("parts")).collect()}
+    assert got == {1: [], 2: [], 3: [("Ramps", 3), ("Flipper (left, right)", None), ("Bumper ( 2 )", None)], 4: [("Gate", 2)]}
+    words = {"reward": spark.createDataFrame([("Multi", "m"), (None, "x")], "term string, slug string"), "cabinet": spark.createDataFrame([("wide", "w"), ("multi", "other")], "term string, slug string")}
+    rows = spark.createDataFrame([(1, ["WIDE", "multi", "Wide", None, "Pro", "??", "??", "Multi"]), (2, []), (3, None)], "id int, terms array<string>")
+    kept = sorted(tuple(r) for r in V.sorted_terms(rows, "id", "terms", words, ("cabinet",), ("Pro",)).collect())
+    assert sorted(x[:3] for x in kept) == [(1, 1, "multi"), (1, 2, "Wide"), (1, 5, "??"), (1, 6, "??")]
+    assert {x[1]: x[3:] for x in kept} == {1: ("reward", "m"), 2: ("cabinet", "w"), 5: (None, None), 6: (None, None)}
+    texts = spark.createDataFrame([(1, None), (2, "plain [[no link"), (3, "[[a:1]][[a:9]] x [[a:1]]")], "id int, text string")
+    targets = spark.createDataFrame([("a", "1", "  a [b]  c ", "/u")], "type string, ref string, label string, url string")
+    shown = {r["id"]: (r["text"], r["n_links"]) for r in V.rendered_links(texts, "id", "text", targets).collect()}
+    assert shown == {1: (None, 0), 2: ("plain [[no link", 0), 3: ("[a b c](/u)[broken link] x [a b c](/u)", 3)}
