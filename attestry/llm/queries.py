@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, jaccard_join, language_id, license_scan, pii_surrogates, secret_scan, sharding, substring_dedup
+from . import decontamination, divergence, jaccard_join, language_id, license_scan, pii_surrogates, secret_scan, sharding, substring_dedup
 from ._spark import load, shared_dir
 from .mixing import mix_plan
 from .quality_rules import quality_rules
@@ -163,6 +163,28 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.places("doc_id")
 
 
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(load(spark, sf_dir, "documents"))
+
+
+OP13_SQL = r"""
+WITH d AS (SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                  regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+g AS (SELECT DISTINCT lang, source FROM d),
+once AS (SELECT lang, unnest(list_distinct(w)) AS term FROM d),
+kept AS (SELECT lang, term FROM once GROUP BY ALL HAVING count(*) >= 3),
+c AS (SELECT lang, source, term, count(*) AS n FROM (SELECT lang, source, unnest(w) AS term FROM d) SEMI JOIN kept USING (lang, term) GROUP BY ALL),
+cells AS MATERIALIZED (SELECT g.lang, g.source, k.term, coalesce(n, 0)::HUGEINT AS n FROM g JOIN kept k USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+p AS MATERIALIZED (SELECT lang, source, term, n, 1 + (1000000000 * (n + 1)) // (sum(n) OVER (PARTITION BY lang, source) + count(*) OVER (PARTITION BY lang, source)) AS p FROM cells),
+l AS (SELECT lang, term, 1 + (1000000000 * (n + 1)) // (sum(n) OVER (PARTITION BY lang) + count(*) OVER (PARTITION BY lang)) AS q FROM (SELECT lang, term, sum(n)::HUGEINT AS n FROM cells GROUP BY ALL)),
+s AS (SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // b.p) AS value FROM p a JOIN p b USING (lang, term) WHERE a.source <> b.source GROUP BY ALL),
+f AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+      UNION ALL SELECT lang, source, 'term', term, ((p - q) * (p - q)) // q FROM p JOIN l USING (lang, term) WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, value::BIGINT AS value, rank::INT AS rank
+FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM f) WHERE part = 'pair' OR rank <= 200
+"""
+
+
 QUERIES: dict[str, Query] = {
     "op1_language_id": op1_language_id,
     "op2_license_scan": op2_license_scan,
@@ -174,5 +196,6 @@ QUERIES: dict[str, Query] = {
     "op8_mixing": op8_mixing,
     "op9_sharding": op9_sharding,
     "op10_jaccard_join": op10_jaccard_join,
+    "op13_divergence": op13_divergence,
 }
-ORACLES: dict[str, str] = {"op3_decontamination": OP3_SQL, "op4_quality_rules": OP4_SQL, "op5_substring_dedup": OP5_SQL, "op8_mixing": OP8_SQL}
+ORACLES: dict[str, str] = {"op3_decontamination": OP3_SQL, "op4_quality_rules": OP4_SQL, "op5_substring_dedup": OP5_SQL, "op8_mixing": OP8_SQL, "op13_divergence": OP13_SQL}
