@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, divergence, jaccard_join, language_id, license_scan, pii_surrogates, secret_scan, sharding, substring_dedup
+from . import decontamination, delta_lloyd, divergence, jaccard_join, language_id, license_scan, pii_surrogates, secret_scan, sharding, substring_dedup
 from ._spark import load, shared_dir
 from .mixing import mix_plan
 from .quality_rules import quality_rules
@@ -163,6 +163,27 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.places("doc_id")
 
 
+def op11_delta_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, centroids, _ = delta_lloyd.cluster(load(spark, sf_dir, "embeddings"), k=40, rounds=5, dim=64, scale=256)
+    return delta_lloyd.digest(rows, centroids).select(F.col("key").alias("vec_id"), "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+
+
+def _op11_sql(k: int = 40, rounds: int = 5) -> str:
+    """Lloyd's rounds written out: c0, a1, c1, a2, ... with components as rows."""
+    out = [f"""v AS MATERIALIZED (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS x FROM embeddings
+      WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+c0 AS MATERIALIZED (SELECT (row_number() OVER (ORDER BY h) - 1)::INT AS c, x FROM (SELECT sha256('2:' || vec_id) AS h, x FROM v ORDER BY h LIMIT {k}))"""]
+    for i in range(1, rounds + 2):
+        out.append(f"""a{i} AS MATERIALIZED (SELECT vec_id, any_value(v.x) AS x, arg_min(c, (d, c)) AS c, min(d) AS d FROM (SELECT vec_id, v.x, c, list_sum(list_transform(list_zip(v.x, m.x), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT AS d FROM v, c{i - 1} m) v GROUP BY vec_id)""")
+        if i <= rounds:
+            out.append(f"""c{i} AS MATERIALIZED (SELECT c, coalesce(n.x, m.x) AS x FROM c{i - 1} m LEFT JOIN (SELECT c, list(s ORDER BY j) AS x
+      FROM (SELECT c, j, ((sum(e) - (sum(e) % count(*) + count(*)) % count(*)) // count(*))::BIGINT AS s FROM (SELECT c, unnest(x) AS e, unnest(range(64)) AS j FROM a{i}) GROUP BY c, j) GROUP BY c) n USING (c))""")
+    last = rounds + 1
+    return f"""WITH {", ".join(out)}
+SELECT vec_id, c AS cluster, d AS distance, sum(d) OVER (PARTITION BY c)::BIGINT AS cluster_inertia, sum(d) OVER ()::BIGINT AS inertia, sha256(array_to_string(m.x, ',')) AS centroid_sha256
+FROM a{last} JOIN c{rounds} m USING (c)"""
+
+
 def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.divergence(load(spark, sf_dir, "documents"))
 
@@ -196,6 +217,7 @@ QUERIES: dict[str, Query] = {
     "op8_mixing": op8_mixing,
     "op9_sharding": op9_sharding,
     "op10_jaccard_join": op10_jaccard_join,
+    "op11_delta_lloyd": op11_delta_lloyd,
     "op13_divergence": op13_divergence,
 }
-ORACLES: dict[str, str] = {"op3_decontamination": OP3_SQL, "op4_quality_rules": OP4_SQL, "op5_substring_dedup": OP5_SQL, "op8_mixing": OP8_SQL, "op13_divergence": OP13_SQL}
+ORACLES: dict[str, str] = {"op3_decontamination": OP3_SQL, "op4_quality_rules": OP4_SQL, "op5_substring_dedup": OP5_SQL, "op8_mixing": OP8_SQL, "op11_delta_lloyd": _op11_sql(), "op13_divergence": OP13_SQL}
