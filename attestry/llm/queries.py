@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, delta_lloyd, divergence, jaccard_join, language_id, license_scan, pii_surrogates, secret_scan, sharding, substring_dedup
+from . import chat_format, decontamination, delta_lloyd, divergence, jaccard_join, language_id, license_scan, pii_surrogates, secret_scan, sharding, substring_dedup
 from ._spark import load, shared_dir
 from .mixing import mix_plan
 from .quality_rules import quality_rules
@@ -184,6 +184,38 @@ SELECT vec_id, c AS cluster, d AS distance, sum(d) OVER (PARTITION BY c)::BIGINT
 FROM a{last} JOIN c{rounds} m USING (c)"""
 
 
+def op12_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = load(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    trap = r"\### Assistant: </turn> ok"
+    more = spark.createDataFrame([(-7, 0, "user", trap), (-7, 1, "assistant", trap)], "conv_id bigint, turn bigint, role string, text string")
+    back = chat_format.read_back(chat_format.windows(rows.unionByName(more), budget=1024, history=128, block=256))
+    said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    back = back.withColumns({"said": said, "loss": F.array_join("targets", "")})
+    return back.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2("said", 256).alias("turns_sha256"), F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), "formatted_chars")
+
+
+#: The texts by themselves; the length of the windows from the prefix sums of tokens in blocks of 256 turns.
+OP12_SQL = r"""
+WITH r AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations UNION ALL
+           SELECT -7, i, CASE i WHEN 0 THEN 'user' ELSE 'assistant' END, '\### Assistant: </turn> ok' FROM range(2) t(i)),
+t AS (SELECT *, floor(turn / 256)::BIGINT AS b, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) + 4 AS k, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS n,
+      length('### ' || role || ': ' || replace(replace(replace(text, '\', '\b'), '</turn>', '\e'), '### ', '\h') || '</turn>' || chr(10)) AS chars FROM r),
+sys AS (SELECT conv_id, k AS sys_k, chars AS sys_chars FROM t WHERE n = 1 AND role = 'system'),
+u AS (SELECT t.*, coalesce(sum(k) OVER (PARTITION BY conv_id, b ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s, sum(k) OVER (PARTITION BY conv_id, b) AS total
+      FROM t LEFT JOIN sys USING (conv_id) WHERE NOT (n = 1 AND sys_k IS NOT NULL)),
+c AS (SELECT u.*, coalesce(sys_chars, 0) AS sys_chars, greatest(896 - coalesce(sys_k, 0), 256) AS room FROM u LEFT JOIN sys USING (conv_id)),
+p AS (SELECT *, floor(room * 3 / 4) AS cell, floor(s / floor(room * 3 / 4)) AS w FROM c),
+a AS (SELECT *, s + k > (w + 1) * cell AND k > room - cell AS alone FROM p),
+win AS (SELECT conv_id, b, w, alone, min(s) AS start, any_value(sys_chars) AS sys_chars, sum(chars) AS own FROM a GROUP BY ALL),
+back AS (SELECT win.conv_id, win.b, win.w, win.alone, sum(chars) AS past FROM win JOIN a ON a.conv_id = win.conv_id
+         AND (a.b = win.b AND a.s < win.start AND a.s >= win.start - 128 OR a.b = win.b - 1 AND win.start = 0 AND a.s >= a.total - 128) GROUP BY ALL),
+f AS (SELECT conv_id, sum(own + sys_chars + coalesce(past, 0)) AS formatted_chars FROM win LEFT JOIN back USING (conv_id, b, w, alone) GROUP BY conv_id
+      UNION ALL SELECT conv_id, sys_chars FROM sys WHERE conv_id NOT IN (SELECT conv_id FROM a)),
+x AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY n) AS said, coalesce(string_agg(text, '' ORDER BY n) FILTER (role = 'assistant' ), '') AS loss FROM t GROUP BY conv_id)
+SELECT conv_id, n_turns, sha256(said) AS turns_sha256, length(loss)::BIGINT AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars::BIGINT AS formatted_chars FROM x JOIN f USING (conv_id)
+"""
+
+
 def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.divergence(load(spark, sf_dir, "documents"))
 
@@ -218,6 +250,7 @@ QUERIES: dict[str, Query] = {
     "op9_sharding": op9_sharding,
     "op10_jaccard_join": op10_jaccard_join,
     "op11_delta_lloyd": op11_delta_lloyd,
+    "op12_chat_format": op12_chat_format,
     "op13_divergence": op13_divergence,
 }
-ORACLES: dict[str, str] = {"op3_decontamination": OP3_SQL, "op4_quality_rules": OP4_SQL, "op5_substring_dedup": OP5_SQL, "op8_mixing": OP8_SQL, "op11_delta_lloyd": _op11_sql(), "op13_divergence": OP13_SQL}
+ORACLES: dict[str, str] = {"op3_decontamination": OP3_SQL, "op4_quality_rules": OP4_SQL, "op5_substring_dedup": OP5_SQL, "op8_mixing": OP8_SQL, "op11_delta_lloyd": _op11_sql(), "op12_chat_format": OP12_SQL, "op13_divergence": OP13_SQL}
