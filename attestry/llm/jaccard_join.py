@@ -371,7 +371,8 @@ def _some_sets(batches: Iterator[pa.RecordBatch], k: int, lower: bool) -> Iterat
 def classes(
     docs: DataFrame, k: int = 5, p: int = 80, q: int = 100, lower: bool = True, text: str = "text", key: str = "doc_id", group_shingles: int = 2_000_000, bucket_points: int = 20_000
 ) -> DataFrame:
-    """One row per row of ``docs``: key, content (hash of the text), n_shingles, component_id (smallest key of the component).
+    """One row per row of ``docs``: key, content (hash of the text), n_shingles, component_id (smallest key of the component), class_no (a number
+    of the component, which it has without a key too; null without words).
 
     Links are pairs with q * |A and B| >= p * |A or B| over sets of ``k``-word shingles."""
     spark = docs.sparkSession
@@ -428,20 +429,26 @@ def classes(
     ids = known.filter("node IS NOT NULL").groupBy("node").agg(F.min("key").alias("least"))
     ids = ids.join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
     named = ids.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_node = ids.join(named, "root").select(F.col("node").alias("_node"), "component_id")
+    of_node = ids.join(named, "root").select(F.col("node").alias("_node"), "component_id", F.col("root").alias("class_no"))
     out = known.join(of_node, F.col("node") == F.col("_node"), "left")
     component = F.when(F.col("node").isNull(), F.col("key")).otherwise(F.col("component_id"))
-    return out.select(F.col("key").alias(key), "content", F.col("n").alias("n_shingles"), component.alias("component_id"))
+    return out.select(F.col("key").alias(key), "content", F.col("n").alias("n_shingles"), component.alias("component_id"), "class_no")
 
 
 def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id", **options) -> DataFrame:
-    """One row of each class, the one with the smallest key, with the columns of ``docs``. Texts are shuffled once: both the join and
-    the choice among repeated rows go by the same two columns."""
+    """One row of each class with the columns of ``docs``: the smallest key (null after all others), then the least hash of the text, then of the
+    whole row. Rows without words have no class and stay, each of them. Texts are shuffled once, by key and hash of the text."""
 
     def named(id_, content):
         return [F.coalesce(id_.cast("string"), F.lit("")).alias("_id"), F.xxhash64(id_, content).alias("_hash")]
 
-    kept = classes(docs, text=text, key=key, **options).filter(F.col(key).eqNullSafe(F.col("component_id")))
-    kept = kept.select(*named(F.col(key), F.col("content"))).distinct()
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), *named(F.col(f"`{key}`"), F.xxhash64(F.col(f"`{text}`"))))
-    return rows.join(kept, ["_id", "_hash"], "left_semi").dropDuplicates(["_id", "_hash"]).select("_row.*")
+    found = classes(docs, text=text, key=key, **options)
+    least = found.filter("class_no IS NOT NULL").groupBy("class_no").agg(F.min(F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("id"), "content")).alias("least"))
+    kept = least.select(*named(F.col("least.id"), F.col("least.content")), F.lit(True).alias("_one"))
+    kept = kept.unionByName(found.filter("class_no IS NULL").select(*named(F.col(key), F.col("content")), F.lit(False).alias("_one")).distinct())
+    # maps can't be hashed as they are
+    whole = F.xxhash64(*[F.to_json(F.struct(F.col(f"`{f.name}`"))) if "map<" in f.dataType.simpleString() else F.col(f"`{f.name}`") for f in docs.schema])
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), whole.alias("_whole"), *named(F.col(f"`{key}`"), F.xxhash64(F.col(f"`{text}`"))))
+    each = F.when(F.col("_one"), F.lit(0).cast("bigint")).otherwise(F.monotonically_increasing_id()).alias("_each")
+    rows = rows.join(kept, ["_id", "_hash"]).select("_id", "_hash", each, "_whole", "_row")
+    return rows.groupBy("_id", "_hash", "_each").agg(F.min_by("_row", "_whole").alias("_row")).select("_row.*")
