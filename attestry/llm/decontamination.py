@@ -15,6 +15,7 @@ count once; repeated documents each get their row; an empty benchmark hits nothi
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -165,13 +166,17 @@ def _rows(batches: Iterator[pa.RecordBatch], index: Index) -> Iterator[pa.Record
         yield pa.RecordBatch.from_arrays(arrays, [n for n in batch.schema.names if n != "text"] + ["n_words", "n_hit", "hits", "items"])
 
 
+def _fits(benchmark: DataFrame, max_windows: int) -> bool:
+    """Whether the benchmark's index is small enough to be broadcast; an item has fewer windows than characters."""
+    return benchmark.select(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0] <= 4 * max_windows
+
+
 def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, k: int = 5, text: str = "text", key: str = "doc_id", item: str = "item_id", max_windows: int = 2_000_000) -> DataFrame:
     """One row per row of ``docs``: key, n_words, n_hit (words inside a shared window), hits (maximal spans of word places) and items
     (distinct ids as strings, sorted)."""
     rows = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"))
     items = benchmark.select(F.coalesce(F.col(f"`{item}`").cast("string"), F.lit("null")).alias("item"), F.col("text"))
-    # an item has fewer windows than characters
-    if items.select(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0] <= 4 * max_windows:
+    if _fits(benchmark, max_windows):
         got = items.collect()
         index = Index([r["item"] for r in got], [r["text"] for r in got], window, k)
         out = T.StructType([rows.schema["key"], T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("hits", HITS), T.StructField("items", T.ArrayType(T.StringType()))])
@@ -218,11 +223,12 @@ def _by_join(rows: DataFrame, items: DataFrame, window: int, k: int) -> DataFram
     pairs = named.join(texts, F.col("_i") == F.col("item")).join(once, F.col("_k").eqNullSafe(F.col("key")) & F.col("_c").eqNullSafe(F.col("content"))).select("key", "content", "text", "item", "item_text")
 
     def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index_of = lru_cache(256)(lambda name, content: Index([name], [content], window, k))  # an item is indexed once in a task, not for each pair
         for batch in batches:
             spans = []
             for i in range(batch.num_rows):
                 one = batch.slice(i, 1)
-                index = Index([one.column(3)[0].as_py()], [one.column(4)[0].as_py()], window, k)
+                index = index_of(one.column(3)[0].as_py(), one.column(4)[0].as_py())
                 spans += [[{"start": s, "end": e} for s, e in r[2]] for r in _found(one.select(["key", "text"]), index)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), pa.array(spans, SPAN)], ["key", "content", "item", "spans"])
 
@@ -239,8 +245,14 @@ def _by_join(rows: DataFrame, items: DataFrame, window: int, k: int) -> DataFram
     return joined.select("key", "n_words", F.aggregate(hit, F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["start"]).alias("n_hit"), hit.alias("hits"), F.coalesce("_items", none).alias("items"))
 
 
-def remove_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` without a hit, with the columns of ``docs``."""
-    text, key = options.pop("text", "text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    rows = docs.select(key.alias("_row"), F.col(f"`{text}`").alias("text"))
-    return find_contamination(rows, benchmark, key="_row", **options).filter("n_hit = 0").select("_row.*")
+def remove_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", max_windows: int = 2_000_000, **options) -> DataFrame:
+    """The rows of ``docs`` without a hit, with the columns of ``docs``, whatever their types. With an index rows go through as they are; beyond it the
+    digests of the texts are judged (equal texts once) and the rows joined to them once."""
+    if _fits(benchmark, max_windows):
+        rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(f"`{text}`").alias("text"))
+        return find_contamination(rows, benchmark, key="_row", max_windows=max_windows, **options).filter("n_hit = 0").select("_row.*")
+    digest = F.sha2(F.col(f"`{text}`"), 256)
+    found = find_contamination(docs.select(digest.alias("digest"), F.col(f"`{text}`").alias("text")), benchmark, key="digest", max_windows=max_windows, **options)
+    hit = found.filter("n_hit > 0").select(F.col("digest").alias("_digest")).distinct()
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), digest.alias("_digest"))
+    return rows.join(hit, "_digest", "left_anti").select("_row.*")
