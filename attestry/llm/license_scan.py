@@ -11,7 +11,10 @@ texts are scanned whole; an empty table gives an empty result.
 
 from __future__ import annotations
 
+from bisect import bisect_right
+from collections import defaultdict
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -76,11 +79,16 @@ class Scanner:
         """Words, base places as (first word, label), spans of notices."""
         words = text.encode("utf-8", "surrogatepass").translate(_NORMAL).split()
         joined = b" ".join(words)
+        starts = list(accumulate((len(w) + 1 for w in words), initial=0))
         places = []
         if any(w in joined for w in self.last_words):
             for phrase, label, pattern in self.base:
                 if phrase in joined:
-                    places += [(joined.count(b" ", 0, m.start()), label) for m in pattern.finditer(joined, overlapped=True)]
+                    places += [(bisect_right(starts, m.start()) - 1, label) for m in pattern.finditer(joined, overlapped=True)]
+        return len(words), places, _best(self.near(joined, starts))
+
+    def near(self, joined: bytes, starts: list[int]) -> list[dict]:
+        """Spans of all notices in words joined by one space that begin at ``starts``."""
         near: dict[int, list[int]] = {}
         for piece, at in self.pieces:
             found = joined.find(piece)
@@ -103,9 +111,8 @@ class Scanner:
             for a, b, edits in _places(found, len(notice)):
                 # edits at the borders may take in the space beside a notice
                 a += len(seen[a:b]) - len(seen[a:b].lstrip())
-                first = seen.count(" ", 0, a)
-                spans.append({"label": label, "first_word": first, "words": len(seen[a:b].split()), "edits": edits, "similarity": 1 - edits / len(notice)})
-        return len(words), places, _best(spans)
+                spans.append({"label": label, "first_word": bisect_right(starts, a) - 1, "words": len(seen[a:b].split()), "edits": edits, "similarity": 1 - edits / len(notice)})
+        return spans
 
 
 def _bits(notice: str) -> dict[str, int]:
@@ -138,12 +145,15 @@ def _least_edits(bits: dict[str, int], length: int, text: str) -> int:
 def _best(spans: list[dict]) -> list[dict]:
     """Without spans of which a more similar one covers more than half (notices that differ by a version or a clause), in text order.
     Notices that follow each other may share words at the border, where edits reach into the next one."""
-    kept: list[dict] = []
+    most = max((s["words"] for s in spans), default=0) + 1
+    kept: dict[int, list[dict]] = defaultdict(list)  # by stretches of so many words: what overlaps begins in the same or the next one
     for s in sorted(spans, key=lambda s: -s["similarity"]):
-        over = (k for k in kept if 2 * (min(k["first_word"] + k["words"], s["first_word"] + s["words"]) - max(k["first_word"], s["first_word"])) > min(k["words"], s["words"]))
+        at = s["first_word"] // most
+        beside = (k for i in (at - 1, at, at + 1) if i in kept for k in kept[i])
+        over = (k for k in beside if 2 * (min(k["first_word"] + k["words"], s["first_word"] + s["words"]) - max(k["first_word"], s["first_word"])) > min(k["words"], s["words"]))
         if all(k["similarity"] <= s["similarity"] for k in over):
-            kept.append(s)
-    return sorted(kept, key=lambda s: (s["first_word"], s["label"], s["edits"]))
+            kept[at].append(s)
+    return sorted((s for some in kept.values() for s in some), key=lambda s: (s["first_word"], s["label"], s["edits"]))
 
 
 def _windows(begins: list[int], length: int, e: int, n: int) -> Iterator[tuple[int, int]]:
@@ -160,11 +170,12 @@ def _windows(begins: list[int], length: int, e: int, n: int) -> Iterator[tuple[i
 
 def _places(found: set[tuple[int, int, int]], length: int) -> list[tuple[int, int, int]]:
     """Spans of one notice, the one with the fewest edits of those that share more than half of it."""
-    kept: list[tuple[int, int, int]] = []
+    kept: dict[int, list[tuple[int, int, int]]] = defaultdict(list)  # by stretches that no span is longer than
     for a, b, edits in sorted(found, key=lambda f: (f[2], f)):
-        if all(2 * (min(b, d) - max(a, c)) <= length for c, d, _ in kept):
-            kept.append((a, b, edits))
-    return sorted(kept)
+        at = a // (2 * length)
+        if all(2 * (min(b, d) - max(a, c)) <= length for i in (at - 1, at, at + 1) if i in kept for c, d, _ in kept[i]):
+            kept[at].append((a, b, edits))
+    return sorted(s for some in kept.values() for s in some)
 
 
 def scan_licenses(docs: DataFrame, text: str = "text", key: str = "doc_id", base: dict[str, str] = BASE, notices: tuple[tuple[str, str], ...] = NOTICES, edit_rate: float = 0.1) -> DataFrame:

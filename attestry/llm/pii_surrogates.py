@@ -11,8 +11,11 @@ that other spellings, cases and separators mean the same one) gets one surrogate
 * names: given name and surname apart, in the script (Latin, Cyrillic), the gender (title or given name) and the case they had.
 
 Surrogates are checked against one another and against all original entities of the kind; whoever clashes is derived again with
-the next attempt, until none does. From the third attempt on surrogates grow (a letter of an address, a syllable of a name, a digit or
-number at the end of the others, each attempt), so there are always enough. So distinct entities stay distinct, and one entity reads the same in every document.
+the next attempt, until none does. From the third attempt on names and e-mail addresses grow (a syllable, a letter, each attempt), so there are always
+enough; IP addresses and security numbers leave their reserved range for the whole space of their format and keep their form, as cards do. Phone
+numbers, whose length isn't fixed, get more digits from the seventh attempt on, which only forms of a few digits come to. Where the entities of
+a fixed form take up nearly half of its values, no such surrogates exist: that is an error after 100 attempts. So distinct entities stay
+distinct, and one entity reads the same in every document.
 
 A name is found after a title, after a label such as ``Name:`` or ``Sincerely,``, or by a common given name in front of a surname; others are
 not found. Letters of e-mail addresses keep their script (Latin, Cyrillic), not their case, which addresses don't tell apart.
@@ -126,9 +129,9 @@ def _mask(x: str, begin: int) -> str:
   CASE WHEN c RLIKE '[0-9]' THEN cast({_B.format('a.i')} % 10 AS string) WHEN c RLIKE '\\\\p{{IsCyrillic}}' THEN substring('абвгдежзиклмнопрстуфхцчшэюя', 1 + {_B.format('a.i')} % 27, 1) WHEN c RLIKE '\\\\p{{L}}' THEN chr(97 + {_B.format('a.i')} % 26) ELSE c END), 'i', a.i + 1), a -> a.s)"""
 
 
-#: Characters or syllables more than the original form needs, from the third attempt on.
+#: Letters or syllables more than the original form needs, from the third attempt on.
 _MORE = "greatest(0, attempt - 2)"
-_MORE_DIGITS = "if(attempt > 2, array_join(transform(sequence(1, attempt - 2), i -> cast(" + _B.format("i + 20") + " % 10 AS string)), ''), '')"
+_MORE_DIGITS = "if(attempt > 6, array_join(transform(sequence(1, attempt - 6), i -> cast(" + _B.format("i + 20") + " % 10 AS string)), ''), '')"
 _MORE_LETTERS = "if(attempt > 2, array_join(transform(sequence(1, attempt - 2), i -> chr(97 + " + _B.format("i + 20") + " % 26)), ''), '')"
 
 
@@ -139,10 +142,10 @@ def _name(script: str) -> str:
 #: The surrogate's normal form, from kind, norm and h.
 CODE = f"""CASE kind
   WHEN 'email' THEN concat({_mask("substring_index(norm, '@', 1)", 0)}, {_MORE_LETTERS}, '@', {_mask("substring(norm, instr(norm, '@') + 1, length(norm) - instr(norm, '@') - length(substring_index(norm, '.', -1)))", 32)}, 'example')
-  WHEN 'ip' THEN concat_ws('.', cast(240 + {_B.format('0')} % 15 AS string), cast({_B.format('1')} AS string), cast({_B.format('2')} AS string), cast({_B.format('3')} AS string), if(attempt > 2, {_MORE_DIGITS}, NULL))
-  WHEN 'ssn' THEN concat('9', {_DIGITS.format('8')}, {_MORE_DIGITS})
+  WHEN 'ip' THEN concat_ws('.', cast(if(attempt > 2, {_B.format('0')}, 240 + {_B.format('0')} % 15) AS string), cast({_B.format('1')} AS string), cast({_B.format('2')} AS string), cast({_B.format('3')} AS string))
+  WHEN 'ssn' THEN if(attempt > 2, {_DIGITS.format('9')}, concat('9', {_DIGITS.format('8')}))
   WHEN 'phone' THEN concat(substring(norm, 1, greatest(0, length(norm) - 10)), {_DIGITS.format('least(10, length(norm))')}, {_MORE_DIGITS})
-  WHEN 'card' THEN transform(array(concat(substring(norm, 1, 1), {_DIGITS.format('length(norm) - 2')}, {_MORE_DIGITS}, '0')), y ->
+  WHEN 'card' THEN transform(array(concat(substring(norm, 1, 1), {_DIGITS.format('length(norm) - 2')}, '0')), y ->
     concat(substring(y, 1, length(y) - 1), cast(pmod({_LUHN.format('norm')} - {_LUHN.format('y')}, 10) AS string)))[0]
   ELSE concat(if(kind LIKE '%cyrillic%', {_name('cyrillic')}, {_name('latin')}),
     CASE {" ".join(f"WHEN kind LIKE '%{s}-{g}' THEN '{e}'" for s in ENDINGS for g, e in ENDINGS[s].items())} ELSE '' END)
@@ -179,6 +182,8 @@ def surrogate_map(entities: DataFrame, secret: str) -> DataFrame:
         release(spark, now)
         settled.append(judged.filter("NOT bad").select("kind", "norm", "code"))
         left, attempt = judged.filter("bad"), attempt + 1
+        if attempt > 100 and not left.isEmpty():
+            raise ValueError("a format has too few values for surrogates that differ from its entities")
         if left.isEmpty():
             out = settled[0]
             for done in settled[1:]:

@@ -58,3 +58,50 @@ def test_least_edits_against_plain_search():
                 new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (a != b)))
             row = new
         assert L._least_edits(L._bits(notice), len(notice), text) == min(row)
+
+
+def least_edits(notice, text):
+    """Least edits from ``notice`` to any part of ``text``, by the plain table."""
+    row = [0] * (len(text) + 1)
+    for i, a in enumerate(notice, 1):
+        new = [i]
+        for j, b in enumerate(text, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (a != b)))
+        row = new
+    return min(row)
+
+
+def test_notices_against_brute_force():
+    """Each notice is found in a text exactly if some part of it is within the notice's edits, with 1 to e and e + 1 edits of all three sorts."""
+    rng = random.Random(11)
+    scanner = L.Scanner(L.BASE, L.NOTICES, 0.1)
+    checked = 0
+    for label, notice in L.NOTICES:
+        most = L.edits_allowed(notice, 0.1)
+        for n in (1, most, most + 1):
+            text = notice
+            for _ in range(n):
+                at = rng.randrange(len(text))
+                text = rng.choice([text[:at] + "z" + text[at + 1 :], text[:at] + "z" + text[at:], text[:at] + text[at + 1 :]])
+            words = f"some words {text} and more of it".split()
+            joined, starts = " ".join(words), [0]
+            for w in words:
+                starts.append(starts[-1] + len(w) + 1)
+            found = {(s["label"], s["edits"]) for s in scanner.near(joined.encode(), starts)}
+            want = set()
+            for other, phrase in L.NOTICES:
+                if (d := least_edits(phrase, joined)) <= L.edits_allowed(phrase, 0.1):
+                    want.add((other, d))
+            assert {x for x, _ in found} == {x for x, _ in want}, (label, n, found, want)
+            assert all(min(e for x, e in found if x == y) == min(e for x, e in want if x == y) for y, _ in want)
+            checked += len(want)
+    assert checked > 2 * len(L.NOTICES)
+
+
+def test_time_follows_the_length():
+    import time
+
+    began = time.time()
+    words, places, spans = L.Scanner(L.BASE, L.NOTICES, 0.1).scan("released under the mit license " * 33_000)
+    assert (words, len(places), len(spans)) == (165_000, 33_000, 33_000)
+    assert time.time() - began < 60

@@ -76,3 +76,27 @@ def test_contaminated_rows_go_on_both_sides_of_the_switch(spark):
     sides = [sorted(map(str, decontamination.remove_contaminated(docs, bench, max_windows=n).collect())) for n in (2_000_000, 0)]
     assert sides[0] == sides[1]
     assert len(sides[0]) == 4
+
+
+def test_fixed_forms_never_change(spark):
+    """Two million values of each fixed form, more than the reserved ranges hold without clashes: distinct, well-formed, none an original."""
+    from pyspark.sql import functions as F
+
+    from attestry.llm import pii_surrogates
+
+    n, i = 2_000_000, F.col("id")
+    ip = F.concat_ws(".", (F.lit(240) + i % 15).cast("string"), (i % 256).cast("string"), ((i / 256).cast("bigint") % 256).cast("string"), ((i / 65536).cast("bigint") % 256).cast("string"))
+    forms = {"ip": ip, "ssn": F.lpad((i + 899_000_000).cast("string"), 9, "0"), "phone": F.lpad((i * 7).cast("string"), 10, "5"), "card": F.concat(F.lit("4"), F.lpad(i.cast("string"), 15, "0"))}
+    entities = None
+    for kind, form in forms.items():
+        rows = spark.range(n).select(F.lit(kind).alias("kind"), form.alias("norm"))
+        entities = rows if entities is None else entities.unionByName(rows)
+    entities = entities.distinct()
+    codes = pii_surrogates.surrogate_map(entities, "k")
+    octet = "(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
+    formed = F.when(F.col("kind") == "ip", F.col("code").rlike(rf"^{octet}(\.{octet}){{3}}$")).otherwise((F.length("code") == F.length("norm")) & F.col("code").rlike("^[0-9]+$"))
+    got = codes.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.count_if(~formed).alias("bad")).collect()
+    want = {r.kind: r.n for r in entities.groupBy("kind").agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert {r.kind: (r.n, r.bad) for r in got} == {k: (v, 0) for k, v in want.items()}
+    assert codes.select("kind", "code").distinct().count() == sum(want.values())
+    assert codes.join(entities.withColumnRenamed("norm", "code"), ["kind", "code"], "left_semi").isEmpty()
