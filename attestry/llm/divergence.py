@@ -86,11 +86,12 @@ def kept_terms(docs: DataFrame, text: str = "text", lang: str = "lang", source:
     """(lang, term, t, lang_n, source, n) of terms in at least ``least_docs`` documents of their language; t numbers (lang, term)."""
     rows = _named(docs, (lang, "lang"), (source, "source"), (text, "text"))
     parts = rows.mapInArrow(lambda b: _counted(b, slice_bytes), "lang string, source string, term string, n bigint, docs bigint").repartition("lang", "term")
-    kept = parts.groupBy("lang", "term").agg(F.sum("n").alias("lang_n"), F.sum("docs").alias("docs")).filter(F.col("docs") >= least_docs)
-    # a number is given in the task that joins it to the counts of its term, and written with them
-    kept = kept.select("lang", "term", "lang_n").withColumn("t", F.monotonically_increasing_id())
-    both = parts.select("lang", "term", "source", "n").join(kept.hint("shuffle_hash"), ["lang", "term"])
-    return both.groupBy("lang", "term", "t", "lang_n", "source").agg(F.sum("n").alias("n"))
+    counts = parts.groupBy("lang", "term", "source").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    # sorted by a hash first, as most terms of a task have the same language
+    counts = counts.withColumns({"h": F.xxhash64("lang", "term"), "id": F.monotonically_increasing_id()})
+    same = W.partitionBy("h", "lang", "term")
+    kept = counts.withColumns({"lang_n": F.sum("n").over(same), "lang_docs": F.sum("docs").over(same), "t": F.min("id").over(same)})
+    return kept.filter(F.col("lang_docs") >= least_docs).select("lang", "term", "t", "lang_n", "source", "n")
 
 
 def divergence(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", least_docs: int = 3, scale: int = 10**9, top: int = 200, salts: int = 64) -> DataFrame:
