@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -18,6 +21,9 @@ def shared_dir(spark: SparkSession) -> str:
     return conf.rstrip("/")
 
 
+_made: ContextVar[list[DataFrame] | None] = ContextVar("made", default=None)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Written once and read back: what it holds is the same for every reader, and no longer plan hangs on it."""
     spark = df.sparkSession
@@ -25,9 +31,23 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._attestry_path = path
+    if (made := _made.get()) is not None:
+        made.append(out)
     return out
 
 
+@contextmanager
+def scratch() -> Iterator[None]:
+    """Tables that are stored inside are deleted at the end: for steps that have written what they give."""
+    made: list[DataFrame] = []
+    token = _made.set(made)
+    try:
+        yield
+    finally:
+        _made.reset(token)
+        dropped(*made)
+
+
 def dropped(*tables: DataFrame) -> None:
     """Delete stored tables that nothing reads any more."""
     for t in tables:

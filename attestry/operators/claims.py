@@ -125,10 +125,10 @@ def stale(active: DataFrame, pending: DataFrame, fields: list[str], scope: DataF
     return mine.join(pending.select(*IDENTITY), list(IDENTITY), "left_anti")
 
 
-def applied(claims: DataFrame, pending: DataFrame, source_id: int, sweep: list[str] | None = None, scope: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def applied(claims: DataFrame, pending: DataFrame, source_id: int, sweep: list[str] | None = None, scope: DataFrame | None = None, top: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(claims after ``source_id`` has said ``pending``, counts by action). Saying the same again changes nothing.
 
-    ``pending`` has the claims columns but claim_id and is_active, and seq; new ids follow the largest one in identity order."""
+    ``pending`` has the claims columns but claim_id and is_active, and seq; new ids follow ``top`` (the largest one there is) in identity order."""
     active = claims.filter((F.col("source_id") == source_id) & F.col("is_active"))
     deduped = last_write(pending)
     diff = difference(deduped, active)
@@ -136,17 +136,18 @@ def applied(claims: DataFrame, pending: DataFrame, source_id: int, sweep: list[s
     swept = stale(active, deduped, sweep, scope).select("claim_id") if sweep else gone.limit(0)
     closed = gone.withColumn("_by", F.lit("supersede")).unionByName(swept.withColumn("_by", F.lit("sweep")))
     new = diff.filter("action <> 'unchanged'").drop("action", "old_claim_id", "seq")
-    top = claims.select(F.coalesce(F.max("claim_id"), F.lit(0))).scalar()
-    new = numbered(new, list(IDENTITY)).withColumn("claim_id", (top + F.col("number")).cast("bigint")).drop("number").withColumns({"is_active": F.lit(True), "source_id": F.lit(source_id).cast("bigint")})
+    after = claims.select(F.coalesce(F.max("claim_id"), F.lit(0))).scalar() if top is None else F.lit(top)
+    new = numbered(new, list(IDENTITY)).withColumn("claim_id", (after + F.col("number")).cast("bigint")).drop("number").withColumns({"is_active": F.lit(True), "source_id": F.lit(source_id).cast("bigint")})
     kept = claims.join(closed.select("claim_id", F.lit(True).alias("_closed")), "claim_id", "left")
     kept = kept.withColumn("is_active", F.col("is_active") & F.col("_closed").isNull()).select(*claims.columns)
     counts = diff.groupBy("action").agg(F.count(F.lit(1)).alias("n")).unionByName(closed.filter("_by = 'sweep'").groupBy(F.col("_by").alias("action")).agg(F.count(F.lit(1)).alias("n")))
     return kept.unionByName(new.select(*[F.col(c) if c in new.columns else F.lit(None).cast(claims.schema[c].dataType).alias(c) for c in claims.columns])), counts
 
 
-def numbered(rows: DataFrame, order: list[str], ranges: int = 64) -> DataFrame:
-    """``number`` from 1 in the order of columns, without one task for all rows: range partitions, sizes summed, places within. The ranges
-    are stored once, as their bounds come from a sample and would differ each time they are made."""
+def numbered(rows: DataFrame, order: list[str], ranges: int | None = None) -> DataFrame:
+    """``number`` from 1 in the order of columns, without one task for all rows: range partitions (as many as a shuffle has), sizes summed, places
+    within. The ranges are stored once, as their bounds come from a sample and would differ each time they are made."""
+    ranges = ranges or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     placed = stored(rows.repartitionByRange(ranges, *order).withColumn("_part", F.spark_partition_id()), "numbered")
     sizes = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).select("_part", "_before")

@@ -6,12 +6,11 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from ..functions.names import collision_form
 from ..plans.specs import EntitySpec
 from ._shared import stored
-from .claims import relationship_claim
+from .claims import numbered, relationship_claim
 
 
 @dataclass(frozen=True)
@@ -45,10 +44,7 @@ def cascade(tables: dict[str, DataFrame], references: list[Reference], start: Da
 
 def in_order(members: DataFrame) -> DataFrame:
     """``place`` from 1: by depth, then entity and id, so that whoever is named first goes first and reruns agree."""
-    part = W.partitionBy("depth").orderBy("entity", "id")
-    sizes = members.groupBy("depth").agg(F.count(F.lit(1)).alias("_n"))
-    before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(W.orderBy("depth").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).select("depth", "_before")
-    return members.withColumn("_in", F.row_number().over(part)).join(F.broadcast(before), "depth").withColumn("place", F.col("_in") + F.col("_before")).drop("_in", "_before")
+    return numbered(members, ["depth", "entity", "id"]).withColumnRenamed("number", "place")
 
 
 def referrers(tables: dict[str, DataFrame], references: list[Reference], targets: DataFrame) -> DataFrame:
