@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -9,8 +11,10 @@ from pyspark.sql import types as T
 from ..operators import claims as C
 from ..operators import history as H
 from ..operators import resolve as R
+from ..operators._shared import shared_dir
 from ..plans.specs import EntitySpec, FieldSpec
 from ..sources.readers import table
+from ..sources.store import ClaimStore
 from ._registry import query
 
 SOURCES = [(0, "s0", 10, True, 1), (1, "s1", 30, True, None), (2, "s2", 30, True, 2), (3, "s3", 90, False, 3)]
@@ -131,22 +135,53 @@ def claim_sweep(spark, d):
     return C.stale(old, new, ["click", "view"]).select("entity_id", "claim_key")
 
 
-@query(
-    f"""WITH {BATCHES_SQL}, live AS (SELECT * FROM a WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.entity_id = a.entity_id AND b.claim_key = a.claim_key AND b.value <> a.value)
-  UNION ALL SELECT * FROM b WHERE NOT EXISTS (SELECT 1 FROM a WHERE b.entity_id = a.entity_id AND b.claim_key = a.claim_key AND b.value = a.value))
-SELECT entity_id, claim_key, value::VARCHAR AS value FROM live"""
-)
+LIVE_SQL = f"""WITH {BATCHES_SQL}, live AS (SELECT * FROM a WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.entity_id = a.entity_id AND b.claim_key = a.claim_key AND b.value <> a.value)
+  UNION ALL SELECT * FROM b WHERE NOT EXISTS (SELECT 1 FROM a WHERE b.entity_id = a.entity_id AND b.claim_key = a.claim_key AND b.value = a.value))"""
+COLUMNS = ["claim_id", "entity_type", "entity_id", "source_id", "field_name", "claim_key", "value", "citation", "needs_review", "needs_review_notes", "license_id", "is_active"]
+
+
+def as_pending(rows: DataFrame) -> DataFrame:
+    blank = {"citation": F.lit(""), "needs_review": F.lit(False), "needs_review_notes": F.lit(""), "license_id": F.lit(None).cast("bigint"), "source_id": F.lit(1).cast("bigint")}
+    return rows.withColumns(blank).withColumn("value", F.col("value").cast("string"))
+
+
+@query(f"{LIVE_SQL} SELECT entity_id, claim_key, value::VARCHAR AS value FROM live")
 def claim_apply(spark, d):
     """Active claims after the second batch was applied to the first."""
     old, new = batches(spark, d)
-    blank = {"citation": F.lit(""), "needs_review": F.lit(False), "needs_review_notes": F.lit(""), "license_id": F.lit(None).cast("bigint"), "source_id": F.lit(1).cast("bigint")}
-    columns = ["claim_id", "entity_type", "entity_id", "source_id", "field_name", "claim_key", "value", "citation", "needs_review", "needs_review_notes", "license_id", "is_active"]
-    log = old.withColumns(blank).withColumns({"is_active": F.lit(True), "value": F.col("value").cast("string")}).select(*columns)
-    pending = new.withColumns(blank).withColumn("value", F.col("value").cast("string")).select(*[c for c in columns if c not in ("claim_id", "is_active")], "seq")
+    log = as_pending(old).withColumn("is_active", F.lit(True)).select(*COLUMNS)
+    pending = as_pending(new).select(*[c for c in COLUMNS if c not in ("claim_id", "is_active")], "seq")
     after, _ = C.applied(log, pending, 1)
     return after.filter("is_active").select("entity_id", "claim_key", "value")
 
 
+def store_of(spark: SparkSession, d: str) -> ClaimStore:
+    """Both batches in a store of its own, one version each."""
+    old, new = batches(spark, d)
+    store = ClaimStore(spark, f"{shared_dir(spark)}/attestry-store-{uuid.uuid4().hex}", buckets=16)
+    for rows in (old.withColumn("seq", F.col("ts")), new):
+        store.apply(as_pending(rows).select(*[c for c in COLUMNS if c not in ("claim_id", "source_id", "is_active")], "seq"), source_id=1)
+    return store
+
+
+@query(f"{LIVE_SQL} SELECT entity_id, claim_key, value::VARCHAR AS value FROM live")
+def claim_store(spark, d):
+    """As :func:`claim_apply`, by two committed versions of a bucketed store."""
+    return store_of(spark, d).read("claims").filter("is_active").select("entity_id", "claim_key", "value")
+
+
+@query(
+    f"""WITH {BATCHES_SQL},
+  t AS (SELECT e AS entity_id, count(*) AS made, count(p) AS closed FROM (SELECT b.entity_id AS e, a.entity_id AS p FROM b LEFT JOIN a USING (entity_id, claim_key) WHERE a.entity_id IS NULL OR a.value <> b.value) GROUP BY 1),
+  f AS (SELECT entity_id, count(*) AS made, 0 AS closed FROM a GROUP BY 1)
+SELECT row_number() OVER (ORDER BY entity_id) AS changeset_id, 1::BIGINT AS version, entity_id, made, closed FROM f
+UNION ALL SELECT (SELECT count(*) FROM f) + row_number() OVER (ORDER BY entity_id), 2, entity_id, made, closed FROM t"""
+)
+def claim_store_changesets(spark, d):
+    """One changeset an entity and version, with how many claims it made and closed."""
+    return store_of(spark, d).read("changesets").select("changeset_id", "version", "entity_id", "made", "closed")
+
+
 @query(
     """SELECT user_id, event_type, CAST(ts AS DATE) AS day, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type, CAST(ts AS DATE) ORDER BY ts DESC, event_id DESC) = 1"""
 )
