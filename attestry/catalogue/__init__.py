@@ -1,6 +1,6 @@
 """The registered queries of the library over the driver tables, and their SQL equivalents."""
 
-from . import claims, facets, lists, loads, matching, plans, quality, serving, terms, texts  # noqa: F401  (they register themselves)
+from . import claims, facets, lists, loads, maintenance, matching, plans, quality, serving, terms, texts  # noqa: F401  (they register themselves)
 from ._registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 from collections import deque
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.query import StreamingQuery
 
+from ..operators._shared import scratch, stored
+from ..operators.maintenance import Derived, maintained
 from ..operators.resolve import winners
+from ..plans.specs import EntitySpec
 
 
 def decide(at: int, kept: deque[int], limit: int, width: int) -> tuple[bool, int | None]:
@@ -101,3 +104,30 @@ def latest(won: DataFrame) -> DataFrame:
     rest = [c for c in won.columns if c not in ("entity_type", "entity_id", "claim_key", "batch")]
     g = won.groupBy("entity_type", "entity_id", "claim_key").agg(F.max_by(F.struct(*rest), "batch").alias("row"))
     return g.select("entity_type", "entity_id", "claim_key", *[F.col(f"row.{c}") for c in rest])
+
+
+def maintain_incrementally(stream: DataFrame, root: str, checkpoint: str, specs: list[EntitySpec], derived: list[Derived], priority: Callable[[DataFrame], DataFrame]) -> StreamingQuery:
+    """Each micro-batch of claims goes to the log under its number; what hangs on the touched claims is computed anew and written, for each kind of entity, as
+    the rows that changed under the same number (:func:`current`). ``priority`` makes a log of claims effective. A batch that is run again writes the same."""
+
+    def apply(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        with scratch():
+            batch.write.mode("overwrite").parquet(f"{root}/claims/batch={number}")
+            touched = spark.read.parquet(f"{root}/claims/batch={number}").select("entity_type", "entity_id", "field_name").distinct()
+            log = spark.read.parquet(f"{root}/claims").filter(F.col("batch") <= number).drop("batch")
+            won = stored(winners(priority(log.join(touched.select("entity_type", "entity_id").distinct(), ["entity_type", "entity_id"], "left_semi"))), "won")
+            before = {s.name: current(spark, root, s.name, number - 1) for s in specs}
+            for name, table in maintained(won, specs, derived, touched, before).items():
+                table.rows.write.mode("overwrite").parquet(f"{root}/{name}/batch={number}")
+
+    return stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).start()
+
+
+def current(spark: SparkSession, root: str, name: str, number: int | None = None) -> DataFrame:
+    """A table of entities after batch ``number`` (None: the last): the latest row of each. Batch -1 is what there was before the stream."""
+    rows = spark.read.parquet(f"{root}/{name}")
+    rows = rows if number is None else rows.filter(F.col("batch") <= number)
+    rest = [c for c in rows.columns if c not in ("entity_id", "batch")]
+    g = rows.groupBy("entity_id").agg(F.max_by(F.struct(*rest), "batch").alias("row"))
+    return g.select("entity_id", *[F.col(f"row.{c}") for c in rest])
