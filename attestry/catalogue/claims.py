@@ -337,6 +337,22 @@ def rate_limit_decisions(spark, d):
     return rate_limited(table(spark, d, "events"), "user_id", "ts", "event_id", limit=5, seconds=86_400)
 
 
+@query(
+    """WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) AS t, event_type <> 'error' AS good, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+r AS (SELECT user_id, event_id, n, t AS window_start, 0 AS used, CASE WHEN good THEN 1 ELSE 0 END AS after FROM e WHERE n = 1
+  UNION ALL SELECT user_id, event_id, n, window_start, used, CASE WHEN used < 3 AND good THEN used + 1 ELSE used END
+  FROM (SELECT e.user_id, e.event_id, e.n, e.good, CASE WHEN e.t >= r.window_start + 86400000000 THEN e.t ELSE r.window_start END AS window_start, CASE WHEN e.t >= r.window_start + 86400000000 THEN 0 ELSE r.after END AS used
+        FROM r JOIN e ON e.user_id = r.user_id AND e.n = r.n + 1))
+SELECT user_id AS "user", event_id AS id, window_start, used, used < 3 AS allowed FROM r"""
+)
+def counter_decisions(spark, d):
+    """Three good requests a user in a day that begins with the first; errors don't count."""
+    from ..streaming.jobs import counted
+
+    e = table(spark, d, "events").withColumn("good", F.col("event_type") != "error")
+    return counted(e, "user_id", "ts", "event_id", limit=3, seconds=86_400, good="good")
+
+
 @query("SELECT user_id, date_trunc('hour', ts) AS window_start, count(*) AS n FROM events GROUP BY 1, 2")
 def roll_window_counts(spark, d):
     from ..streaming.jobs import window_counts

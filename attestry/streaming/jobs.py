@@ -74,6 +74,87 @@ def rate_limit_stream(events: DataFrame, user: str, at: str, id_: str, limit: in
     return rows.groupBy("user").transformWithStateInPandas(statefulProcessor=RateLimiter(limit, seconds), outputStructType=schema, outputMode="append", timeMode="none")
 
 
+def count_in(at: int, counter: tuple[int, int] | None, limit: int, width: int, good: bool = True) -> tuple[bool, tuple[int, int]]:
+    """Allowed or not, and the counter (begin of its window, requests that counted) afterwards. A window begins with the first request after the one before
+    has run out, so that each user's are their own; refused requests and those that come to nothing (not ``good``) don't count. A request from before
+    the window's begin, late, is judged by the counter as it stands."""
+    if counter is None or at >= counter[0] + width:
+        counter = (at, 0)
+    begin, used = counter
+    return used < limit, (begin, used + (used < limit and good))
+
+
+def _requests(events: DataFrame, user: str, at: str, id_: str, good: str | None) -> DataFrame:
+    time = F.unix_micros(F.col(at).cast("timestamp"))
+    return events.select(F.col(user).alias("user"), F.col(id_).alias("id"), time.alias("at"), (F.col(good) if good else F.lit(True)).alias("good"))
+
+
+def _decisions(rows: DataFrame) -> str:
+    return f"user {rows.schema['user'].dataType.simpleString()}, id {rows.schema['id'].dataType.simpleString()}, window_start bigint, used int, allowed boolean"
+
+
+def counted(events: DataFrame, user: str, at: str, id_: str, limit: int, seconds: int, good: str | None = None) -> DataFrame:
+    """Batch form of a counter with a time to live: (user, id, window_start in microseconds, used before the request, allowed). A user's requests are judged in
+    the order of time and id; sorted rows are streamed, and one counter is in memory."""
+    rows = _requests(events, user, at, id_, good)
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        who, counter = None, None
+        for batch in batches:
+            out = []
+            for name, time, fine in zip(batch["user"], batch["at"].tolist(), batch["good"].tolist(), strict=True):
+                if name != who:
+                    who, counter = name, None
+                allowed, after = count_in(time, counter, limit, seconds * 1_000_000, fine)
+                out.append((after[0], after[1] - (allowed and fine), allowed))
+                counter = after
+            yield pd.DataFrame({"user": batch["user"], "id": batch["id"], "window_start": [w for w, _, _ in out], "used": [u for _, u, _ in out], "allowed": [a for _, _, a in out]})
+
+    return rows.repartition("user").sortWithinPartitions("user", "at", "id").mapInPandas(fold, _decisions(rows))
+
+
+class Counter(StatefulProcessor):
+    """Stream form: one counter a user, dropped by a timer when the watermark has passed the end of its window."""
+
+    def __init__(self, limit: int, seconds: int):
+        self.limit, self.width = limit, seconds * 1_000_000
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.counter = handle.getValueState("counter", "begin bigint, used int")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        group = pd.concat(list(rows)).sort_values(["at", "id"])
+        counter = before = tuple(self.counter.get()) if self.counter.exists() else None
+        out = []
+        for time, fine in zip(group["at"].tolist(), group["good"].tolist(), strict=True):
+            allowed, counter = count_in(time, counter, self.limit, self.width, fine)
+            out.append((counter[0], counter[1] - (allowed and fine), allowed))
+        self.counter.update(counter)
+        if before is None or before[0] != counter[0]:
+            if before is not None:
+                self.handle.deleteTimer(self.end(before[0]))
+            self.handle.registerTimer(self.end(counter[0]))
+        yield pd.DataFrame({"user": [key[0]] * len(group), "id": group["id"].tolist(), "window_start": [w for w, _, _ in out], "used": [u for _, u, _ in out], "allowed": [a for _, _, a in out]})
+
+    def end(self, begin: int) -> int:
+        return -(-(begin + self.width) // 1000)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.counter.clear()
+        yield pd.DataFrame({"user": pd.Series([key[0]])[:0], "id": pd.Series([0])[:0], "window_start": pd.Series([0])[:0], "used": pd.Series([0])[:0], "allowed": pd.Series([True])[:0]})
+
+    def close(self) -> None:
+        pass
+
+
+def counted_stream(events: DataFrame, user: str, at: str, id_: str, limit: int, seconds: int, late: str = "10 minutes", good: str | None = None) -> DataFrame:
+    """The same decisions on a stream, whose rows may be ``late``; rows later than that are dropped by the watermark, undecided. Requests are judged as they
+    arrive, by time within a micro-batch."""
+    rows = _requests(events, user, at, id_, good).withColumn("time", F.timestamp_micros("at")).withWatermark("time", late)
+    return rows.groupBy("user").transformWithStateInPandas(statefulProcessor=Counter(limit, seconds), outputStructType=_decisions(rows), outputMode="append", timeMode="eventTime")
+
+
 def window_counts(events: DataFrame, user: str, at: str, width: str = "1 hour") -> DataFrame:
     """Requests of each user in fixed windows."""
     return events.groupBy(F.col(user), F.window(at, width).alias("w")).agg(F.count(F.lit(1)).alias("n")).select(user, F.col("w.start").alias("window_start"), "n")

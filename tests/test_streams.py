@@ -95,3 +95,57 @@ def test_incremental_resolution(spark, tmp_path):
     got = {(r["entity_id"], r["claim_key"]): r["claim_id"] for r in J.latest(spark.read.parquet(f"file://{tmp_path}/won")).collect()}
     want = {(r["entity_id"], r["claim_key"]): r["claim_id"] for r in winners(spark.read.parquet(folder)).collect()}
     assert got == want and len({c for c in got.values()}) == len(got)
+
+
+def fold(rows, limit, seconds):
+    """Decisions by the plain rule, rows (id, user, second, good) in the order of arrival."""
+    counters, out = {}, {}
+    for i, user, t, good in rows:
+        begin, used = counters.get(user, (None, 0))
+        if begin is None or t >= begin + seconds:
+            begin, used = t, 0
+        out[user, i] = (begin * 1_000_000, used, used < limit)
+        counters[user] = (begin, used + (1 if used < limit and good else 0))
+    return out
+
+
+REQUESTS = "id bigint, user bigint, s bigint, good boolean"
+
+
+def decided(rows):
+    return {(r["user"], r["id"]): (r["window_start"], r["used"], r["allowed"]) for r in rows}
+
+
+def test_counter(spark):
+    """Windows begin with the first request of each user; equal times go by id; refused and failed requests don't count."""
+    rows = [(i, u, t, (i * 7) % 5 != 0) for i, u, t in requests(400)]
+    rows += [(1000 + i, 9, 50, True) for i in range(6)] + [(1010, 9, 109, True), (1011, 9, 110, True)]
+    events = spark.createDataFrame(rows, REQUESTS).withColumn("at", F.timestamp_seconds("s"))
+    got = decided(J.counted(events, "user", "at", "id", 4, 60, "good").collect())
+    assert got == fold(sorted(rows, key=lambda r: (r[2], r[0])), 4, 60)
+    assert got[9, 1010] == (50_000_000, 4, False) and got[9, 1011] == (110_000_000, 0, True)
+
+
+def test_counter_stream(spark, tmp_path):
+    """A stream decides as the rows arrive; late rows are judged by the counter as it stands, and those behind the watermark not at all."""
+    rng = random.Random(8)
+    batches = []
+    for b in range(4):
+        rows = [(100 * b + i, rng.randrange(3), 200 * b + rng.randrange(200), rng.random() < 0.8) for i in range(40)]
+        rows += [(100 * b + 50 + i, 7, 200 * b + 13, True) for i in range(6)]  # equal times
+        if b:
+            rows.append((100 * b + 90, 7, 200 * b - 20, True))  # late, within the watermark
+        batches.append(rows)
+    batches[3].append((399, 7, 1, True))  # far too late
+    folder = f"file://{tmp_path}/in"
+    for i, rows in enumerate(batches):
+        spark.createDataFrame(rows, REQUESTS).coalesce(1).write.mode("append").parquet(folder)
+    stream = spark.readStream.schema(REQUESTS).option("maxFilesPerTrigger", 1).parquet(folder).withColumn("at", F.timestamp_seconds("s"))
+    old = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        got = decided(run(J.counted_stream(stream, "user", "at", "id", 4, 60, "3 minutes", "good"), "append", "counted"))
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", old)
+    arrived = [r for rows in batches for r in sorted(rows, key=lambda r: (r[2], r[0])) if r[0] != 399]
+    assert got == fold(arrived, 4, 60)
