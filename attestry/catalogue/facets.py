@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..operators import facets as X
+from ..operators._shared import shared_dir
+from ..operators.facet_index import FacetIndex
 from ..sources.readers import table, tables
 from ._registry import query
 
@@ -54,6 +58,22 @@ def facet_counts_n1(spark, d):
     return X.counts(documents(spark, d), DIMENSIONS, STATE, COUNTED)
 
 
+def index(spark, d):
+    root = f"{shared_dir(spark)}/attestry-facets-{uuid.uuid4().hex}"
+    return FacetIndex(spark, root, DIMENSIONS).build(documents(spark, d), "k")
+
+
+@query(f"WITH {_DOCS} SELECT k FROM t WHERE f1 AND f2 AND f3 AND f4 AND f5")
+def facet_index_filter(spark, d):
+    return index(spark, d).keys(STATE).select(F.col("key").alias("k"))
+
+
+@query(f"WITH {_DOCS} {_COUNTS}")
+def facet_index_counts(spark, d):
+    """As :func:`facet_counts_n1`, from the bitmaps of a stored index."""
+    return index(spark, d).counts(STATE, COUNTED)
+
+
 @query(
     f"""WITH {_DOCS}, c AS ({_COUNTS}), o AS (SELECT 'segment' AS dimension, segment AS value FROM t UNION SELECT 'priority', priority FROM t UNION SELECT 'nation', nation FROM t
   UNION SELECT 'brands', unnest(brands) FROM t UNION SELECT 'types', unnest(types) FROM t) SELECT dimension, value, coalesce(n, 0) AS n FROM o LEFT JOIN c USING (dimension, value)"""

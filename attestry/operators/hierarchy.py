@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._shared import stored
+from .bitmaps import positions, sets, sizes, union
 
 
 def closure(edges: DataFrame, child: str = "child", parent: str = "parent", include_self: bool = True) -> DataFrame:
@@ -29,9 +30,19 @@ def closure(edges: DataFrame, child: str = "child", parent: str = "parent", incl
 
 
 def rollup_counts(nodes: DataFrame, paths: DataFrame, bridge: DataFrame, node: str, member: str) -> DataFrame:
-    """For each node the number of distinct members of it and its descendants; nodes without members count 0."""
-    of = paths.join(bridge.select(F.col(node).alias("descendant"), F.col(member).alias("_member")).distinct(), "descendant")
-    counts = of.groupBy("ancestor").agg(F.countDistinct("_member").alias("members"))
+    """For each node the number of distinct members of it and its descendants; nodes without members count 0.
+
+    Members are bits: those of a node that is asked for are gathered once and go up the paths as bitmaps, those of other nodes go to the ancestors that are
+    asked for and are gathered there, before anything is shuffled. What is shuffled are bitmaps by node and bucket, not members by path."""
+    asked = nodes.select(F.col(node).alias("_node")).distinct()
+    numbers = positions(bridge, member)
+    held = bridge.select(F.col(node).alias("descendant"), F.col(member).alias("member")).join(numbers, "member").select("descendant", "number")
+    up = paths.join(asked.withColumnRenamed("_node", "ancestor"), "ancestor", "left_semi")
+    mine = asked.withColumnRenamed("_node", "descendant")
+    through = up.join(mine, "descendant", "left_anti").join(held, "descendant").select("ancestor", "number")
+    own = sets(held.join(mine, "descendant", "left_semi"), ["descendant"])
+    bits = sets(through, ["ancestor"]).unionByName(up.join(own, "descendant").select("ancestor", "bucket", "bits"))
+    counts = sizes(union(bits, ["ancestor"]), ["ancestor"])
     return nodes.select(F.col(node)).join(counts, F.col(node) == F.col("ancestor"), "left").select(node, F.coalesce("members", F.lit(0)).alias("members"))
 
 
@@ -74,8 +85,11 @@ def compatible(a: Column, b: Column, sep: str = "/") -> Column:
 
 
 def path_rollup(rows: DataFrame, path: str, member: str) -> DataFrame:
-    """Distinct members of each path and everything below it."""
-    return rows.select(F.explode(prefixes(F.col(path))).alias("path"), F.col(member)).groupBy("path").agg(F.countDistinct(member).alias("members"))
+    """Distinct members of each path and everything below it, as bitmaps; a path whose members are all null has 0."""
+    placed = rows.select(F.col(path).alias("_path"), F.col(member).alias("member")).join(positions(rows, member), "member", "left")
+    each = placed.select(F.explode(prefixes(F.col("_path"))).alias("path"), "number")
+    counts = sizes(sets(each.filter("number IS NOT NULL"), ["path"]), ["path"])
+    return each.select("path").distinct().join(counts, "path", "left").select("path", F.coalesce("members", F.lit(0)).alias("members"))
 
 
 def long_chains(rows: DataFrame, id_: str, parent: str) -> DataFrame:
