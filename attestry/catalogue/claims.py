@@ -278,6 +278,26 @@ def unique_conflict_losers(spark, d):
     return R.conflicts(o.select(F.col("o_orderkey").alias("entity_id"), "slug"), had, "slug").select("entity_id", F.substring_index("value", ":", -1).alias("value"))
 
 
+#: customers of a ten want each the name of the next; the last keeps its own (all go back), or in every third ten takes a new one; some want one name
+_WANTS = """w AS (SELECT c_custkey AS k, c_name AS had, CASE WHEN c_custkey % 10 = 9 THEN CASE WHEN (c_custkey // 10) % 3 = 0 THEN 'New ' || c_name ELSE c_name END WHEN c_custkey % 100 IN (42, 44) THEN 'Both ' || c_custkey // 100
+  ELSE coalesce(lead(c_name) OVER (ORDER BY c_custkey), c_name) END AS want FROM customer),
+own AS (SELECT want, arg_min(k, (CASE WHEN had = want THEN 0 ELSE 1 END, k)) AS k FROM w GROUP BY 1)"""
+
+
+@query(
+    f"""WITH RECURSIVE {_WANTS}, lost(k) AS (SELECT k FROM w WHERE k NOT IN (SELECT k FROM own) UNION SELECT x.k FROM lost JOIN w l ON l.k = lost.k JOIN own ON own.want = l.had JOIN w x ON x.k = own.k AND x.had <> x.want)
+SELECT k AS entity_id, CASE WHEN k IN (SELECT k FROM lost) THEN had ELSE want END AS name, CASE WHEN k IN (SELECT k FROM lost) THEN 'reverted' ELSE 'kept' END AS outcome FROM w"""
+)
+def displacement_chains(spark, d):
+    c, k = table(spark, d, "customer").withColumn("name", F.col("c_name")), F.col("c_custkey")
+    after = c.select((k - 1).alias("c_custkey"), F.col("c_name").alias("_next"))
+    last = F.when((k / 10).cast("bigint") % 3 == 0, F.concat(F.lit("New "), "c_name")).otherwise(F.col("c_name"))
+    both = F.concat(F.lit("Both "), (k / 100).cast("bigint").cast("string"))
+    want = F.when(k % 10 == 9, last).when((k % 100).isin(42, 44), both).otherwise(F.coalesce("_next", "c_name"))
+    rows = c.join(after, "c_custkey", "left").select(k.alias("entity_id"), want.alias("name"))
+    return R.settled(rows, c.select(k.alias("entity_id"), "name"), "name")
+
+
 @query(
     """SELECT l_orderkey AS entity_id, l_linenumber AS asset_id, row_number() OVER (PARTITION BY l_orderkey, l_returnflag ORDER BY (l_discount >= 0.08) DESC,
   CASE WHEN l_discount >= 0.08 THEN -l_quantity END, l_shipdate, l_linenumber) = 1 AS is_primary FROM (SELECT DISTINCT ON (l_orderkey, l_linenumber) * FROM lineitem ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey)"""

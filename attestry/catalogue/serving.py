@@ -100,6 +100,29 @@ def cycle_check(spark, d):
     return Y.makes_cycle(paths, proposed)
 
 
+#: nations under regions and customers under nations, as they are; proposed are regions under nations and nations under customers, which close cycles only together
+_JOINT = """e(child, parent) AS (SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation UNION SELECT 'c' || c_custkey, 'n' || c_nationkey FROM customer),
+q(child, parent) AS (SELECT 'r' || r_regionkey, 'n' || (r_regionkey * 3 + 1) FROM region UNION SELECT 'n' || n_nationkey, 'c' || (n_nationkey * 7) FROM nation WHERE n_nationkey % 2 = 0 UNION SELECT 'r4', 'r4')"""
+
+
+@query(
+    f"""WITH RECURSIVE {_JOINT}, al AS (SELECT * FROM e UNION SELECT * FROM q), s AS (SELECT * FROM al WHERE child[1] <> 'c' OR child IN (SELECT parent FROM q)), up(d, a) AS (SELECT child, parent FROM s UNION SELECT d, parent FROM up JOIN s ON a = child)
+SELECT child, parent FROM q WHERE child = parent OR (parent, child) IN (SELECT (d, a) FROM up)"""
+)
+def joint_cycles(spark, d):
+    """Proposed edges that are on a cycle of existing and proposed edges together."""
+    r, n, c = tables(spark, d, "region", "nation", "customer")
+
+    def edge(rows, child, parent):
+        return rows.select(F.concat(F.lit(child[0]), child[1].cast("string")).alias("child"), F.concat(F.lit(parent[0]), parent[1].cast("string")).alias("parent"))
+
+    region, nation = F.col("r_regionkey"), F.col("n_nationkey")
+    existing = edge(n, ("n", nation), ("r", F.col("n_regionkey"))).unionByName(edge(c, ("c", F.col("c_custkey")), ("n", F.col("c_nationkey"))))
+    proposed = edge(r, ("r", region), ("n", region * 3 + 1)).unionByName(edge(n.filter("n_nationkey % 2 = 0"), ("n", nation), ("c", nation * 7)))
+    proposed = proposed.unionByName(edge(r.filter("r_regionkey = 4"), ("r", region), ("r", region)))
+    return Y.joint_cycles(existing, proposed).select("child", "parent")
+
+
 _PATHS = "p AS (SELECT s_suppkey, r_name || '/' || n_name || '/' || (CASE WHEN s_acctbal < 0 THEN 'debt' ELSE 'credit' END) AS path FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)"
 
 

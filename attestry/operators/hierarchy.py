@@ -60,6 +60,51 @@ def makes_cycle(paths: DataFrame, proposed: DataFrame) -> DataFrame:
     return below.unionByName(proposed.filter("child = parent")).distinct()
 
 
+def strong_components(edges: DataFrame, child: str = "child", parent: str = "parent") -> DataFrame:
+    """(node, component) of the nodes on a cycle of two nodes or more; a component is named by its largest node.
+
+    Nodes that nothing leads to, or that lead nowhere, are on no cycle and are trimmed first, which leaves little of a hierarchy. In what is left each node takes
+    the largest node that leads to it as its colour; what leads back to the node that a colour is named by, within the colour, is its component. Edges
+    between colours are on no cycle either, so the rest falls into smaller parts each round."""
+    left = stored(edges.select(F.col(child).alias("a"), F.col(parent).alias("b")).filter("a <> b").distinct(), "core")
+    found = left.select(F.col("a").alias("node"), F.col("a").alias("component")).limit(0)
+    while True:
+        size = None
+        while size != (size := left.count()):
+            both = left.select(F.col("a").alias("n")).distinct().join(left.select(F.col("b").alias("n")).distinct(), "n", "left_semi")
+            left = stored(left.join(both.withColumnRenamed("n", "a"), "a", "left_semi").join(both.withColumnRenamed("n", "b"), "b", "left_semi").select("a", "b"), "core")
+        if not size:
+            return found
+        colours = stored(left.select(F.col("a").alias("node")).distinct().select("node", F.col("node").alias("colour")), "colours")
+        while True:
+            sent = left.join(colours.withColumnRenamed("node", "a"), "a").select(F.col("b").alias("node"), F.col("colour").alias("_sent")).groupBy("node").agg(F.max("_sent").alias("_sent"))
+            new = stored(colours.join(sent, "node").select("node", F.greatest("colour", "_sent").alias("colour"), (F.col("_sent") > F.col("colour")).alias("_up")), "colours")
+            colours = new.select("node", "colour")
+            if new.filter("_up").isEmpty():
+                break
+        within = left.join(colours.select(F.col("node").alias("a"), "colour"), "a").join(colours.select(F.col("node").alias("b"), F.col("colour").alias("_c")), "b")
+        within = stored(within.filter(F.col("colour") == F.col("_c")).select("a", "b", "colour"), "within")
+        front = members = stored(colours.filter("node = colour"), "members")
+        while not front.isEmpty():
+            back = within.join(front.select(F.col("node").alias("b"), "colour"), ["b", "colour"]).select(F.col("a").alias("node"), "colour").distinct()
+            front = stored(back.join(members, ["node", "colour"], "left_anti"), "members")
+            members = members.unionByName(front)
+        members = stored(members, "members")
+        several = members.groupBy("colour").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+        found = stored(found.unionByName(members.join(several, "colour", "left_semi").select("node", F.col("colour").alias("component"))), "found")
+        gone = members.select("node")
+        left = stored(within.join(gone.withColumnRenamed("node", "a"), "a", "left_anti").join(gone.withColumnRenamed("node", "b"), "b", "left_anti").select("a", "b"), "core")
+
+
+def joint_cycles(existing: DataFrame, proposed: DataFrame) -> DataFrame:
+    """Proposed (child, parent) edges that are on a cycle of existing and proposed edges together, be it that only several of them close it, and
+    edges from a node to itself; with the component."""
+    parts = strong_components(existing.select("child", "parent").unionByName(proposed.select("child", "parent")))
+    ends = proposed.select("child", "parent").distinct().join(parts.select(F.col("node").alias("child"), "component"), "child").join(parts.select(F.col("node").alias("parent"), F.col("component").alias("_c")), "parent")
+    on = ends.filter(F.col("component") == F.col("_c")).filter("child <> parent").select("child", "parent", "component")
+    return on.unionByName(proposed.filter("child = parent").select("child", "parent", F.col("child").alias("component")).distinct())
+
+
 def prefixes(path: Column, sep: str = "/") -> Column:
     """All ancestors of a path and itself, from the root."""
     parts = F.split(path, sep)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..plans.specs import EntitySpec, coerced
+from ._shared import stored
 from .claims import exists_flag
 
 KEY = ("entity_type", "entity_id", "claim_key")
@@ -83,6 +84,39 @@ def conflicts(rows: DataFrame, before: DataFrame, column: str) -> DataFrame:
     return placed.filter("_place > 1").select("entity_id", F.col(column).alias("value"), F.col("_had").alias("keeps"))
 
 
+def settled(rows: DataFrame, before: DataFrame, column: str, nullable: bool = False) -> DataFrame:
+    """(entity_id, column, outcome): the column made unique. Blank values never clash.
+
+    Nullable: of those with equal values the smallest id keeps it, the others are ``cleared``. Otherwise who had the value before keeps it, else the smallest
+    id; losers go back to what they had (``reverted``; ``cleared`` if they had nothing), which may take the value from someone who took theirs, and so on.
+    Each entity has at most one that it displaces by going back, so whole chains are found by doubling steps, in rounds that follow the logarithm of the
+    longest. ``rows`` has all entities; values ``before`` must be unique."""
+    had = before.select("entity_id", F.col(column).alias("_had"))
+    new = rows.select("entity_id", F.col(column).alias("_new")).join(had, "entity_id", "left")
+    new = stored(new.withColumns({c: F.when(F.col(c).cast("string") != "", F.col(c)) for c in ("_new", "_had")}), "settled")
+    mine = F.coalesce(F.col("_new") == F.col("_had"), F.lit(False))
+    rank = F.struct(F.lit(0) if nullable else F.when(mine, 0).otherwise(1), F.col("entity_id"))
+    owners = new.filter("_new IS NOT NULL").groupBy("_new").agg(F.min_by(F.struct("entity_id", mine.alias("mine")), rank).alias("owner")).select(F.col("_new").alias("_value"), "owner.entity_id", "owner.mine")
+    lost = new.filter("_new IS NOT NULL").join(owners.select("entity_id"), "entity_id", "left_anti").select("entity_id")
+    if not nullable:
+        # going back, an entity displaces the one that holds its old value now
+        jumps = new.filter(~mine & F.col("_had").isNotNull()).select("entity_id", F.col("_had").alias("_value")).join(owners.filter("NOT mine").withColumnRenamed("entity_id", "next"), "_value").filter("next <> entity_id")
+        jumps, lost = stored(jumps.select("entity_id", "next"), "jumps"), stored(lost, "lost")
+        while True:
+            more = lost.join(jumps, "entity_id").select(F.col("next").alias("entity_id")).distinct()
+            more = stored(more.join(lost, "entity_id", "left_anti"), "lost")
+            if more.isEmpty():
+                break
+            lost = stored(lost.unionByName(more), "lost")
+            further = jumps.select(F.col("entity_id").alias("next"), F.col("next").alias("_next"))
+            jumps = stored(jumps.join(further, "next").select("entity_id", F.col("_next").alias("next")), "jumps")
+    out = new.join(lost.withColumn("_lost", F.lit(True)), "entity_id", "left")
+    back = F.lit(None) if nullable else F.col("_had")
+    final = F.when(F.col("_lost"), back).otherwise(F.col("_new"))
+    outcome = F.when(F.col("_lost").isNull(), "kept").when(back.isNull(), "cleared").otherwise("reverted")
+    return out.select("entity_id", final.alias(column), outcome.alias("outcome"))
+
+
 def related(won: DataFrame, namespace: str, parts: dict[str, str]) -> DataFrame:
     """Existing relationships of winners: entity_id and the parts of the value, typed."""
     rows = won.filter((F.col("field_name") == namespace) & exists_flag(F.col("value")))
