@@ -42,16 +42,29 @@ def snake(name: str) -> str:
     return "".join(("_" + c.lower()) if c.isupper() and i and not name[i - 1].isupper() else c.lower() for i, c in enumerate(name))
 
 
-def wrapped_machines(spark: SparkSession, path: str, required: str = "IpdbId") -> DataFrame:
-    """Rows under ``Data`` of one JSON document, snake-case columns with '' for missing texts. A row without the required key aborts."""
+def split_rows(spark: SparkSession, path: str, at: str, schema: str, chunk: int) -> DataFrame:
+    """Records under ``at`` of one JSON document, read by tasks of ``chunk`` bytes; corrupt ones abort, and how many there are is told."""
+    from .json_records import parsed, records
+
+    good, bad = parsed(records(spark, path, at, chunk), schema)
+    if n := bad.count():
+        raise DriftError(f"{path}: {n} corrupt records, such as {[tuple(r) for r in bad.limit(3).collect()]}")
+    return good
+
+
+def wrapped_machines(spark: SparkSession, path: str, required: str = "IpdbId", chunk: int | None = None) -> DataFrame:
+    """Rows under ``Data`` of one JSON document, snake-case columns with '' for missing texts. A row without the required key aborts. With ``chunk`` (bytes)
+    a large document is read by many tasks."""
     machine = spark.createDataFrame([], MACHINES).schema
-    rows = spark.read.schema(T.StructType([T.StructField("Data", T.ArrayType(machine))])).option("multiLine", True).json(path).select(F.inline("Data"))
+    rows = split_rows(spark, path, "Data", MACHINES, chunk) if chunk else spark.read.schema(T.StructType([T.StructField("Data", T.ArrayType(machine))])).option("multiLine", True).json(path).select(F.inline("Data"))
     if not rows.filter(F.col(required).isNull()).isEmpty():
         raise DriftError(f"{path}: rows without {required}")
     return rows.select(*[(F.coalesce(f.name, F.lit("")) if f.dataType == T.StringType() else F.col(f.name)).alias(snake(f.name)) for f in machine])
 
 
-def machine_array(spark: SparkSession, path: str) -> DataFrame:
+def machine_array(spark: SparkSession, path: str, chunk: int | None = None) -> DataFrame:
+    if chunk:
+        return split_rows(spark, path, "", OPEN_MACHINES, chunk)
     return spark.read.schema(OPEN_MACHINES).option("multiLine", True).json(path)
 
 
@@ -64,8 +77,13 @@ def export(spark: SparkSession, folder: str, name: str, schema: str) -> DataFram
 _VALUE = "struct<type:string,value:string>"
 
 
-def bindings(spark: SparkSession, path: str, part: str) -> DataFrame:
+def bindings(spark: SparkSession, path: str, part: str, chunk: int | None = None) -> DataFrame:
     """SPARQL result rows of one part of a dump: a map from variable to value."""
+    if chunk:
+        from .json_records import records
+
+        rows = records(spark, path, f"{part}.results.bindings", chunk).select(F.from_json("record", f"map<string,{_VALUE}>").alias("b"))
+        return rows.select(F.transform_values("b", lambda _, v: v["value"]).alias("b"))
     schema = f"{part} struct<results:struct<bindings:array<map<string,{_VALUE}>>>>"
     rows = spark.read.schema(schema).option("multiLine", True).json(path).select(F.explode(f"{part}.results.bindings").alias("b"))
     return rows.select(F.transform_values("b", lambda _, v: v["value"]).alias("b"))
@@ -94,10 +112,10 @@ def makers(spark: SparkSession, path: str) -> DataFrame:
     return rows.groupBy("qid").agg(*[F.min(F.col("b")[n]).alias(snake(n)) for n in names])
 
 
-def wiki_pages(spark: SparkSession, path: str, part: str) -> DataFrame:
+def wiki_pages(spark: SparkSession, path: str, part: str, chunk: int | None = None) -> DataFrame:
     """Pages of one part of a wiki dump (page_id, title, wikitext) without redirects."""
     schema = f"{part} array<struct<page_id:int,title:string,wikitext:string>>"
-    rows = spark.read.schema(schema).option("multiLine", True).json(path).select(F.inline(part))
+    rows = split_rows(spark, path, part, "page_id int, title string, wikitext string", chunk) if chunk else spark.read.schema(schema).option("multiLine", True).json(path).select(F.inline(part))
     return rows.filter(~F.coalesce(F.upper(F.ltrim("wikitext")).startswith("#REDIRECT"), F.lit(False)))
 
 
