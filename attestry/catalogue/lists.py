@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 
 from ..functions import display as D
 from ..operators import aggregates as A
+from ..operators import facets as X
 from ..sources.readers import table, tables
 from ._registry import query
 
@@ -179,17 +180,8 @@ def maker_facets(spark, d):
     s, n, r = tables(spark, d, "supplier", "nation", "region")
     docs = s.join(F.broadcast(n), F.col("s_nationkey") == F.col("n_nationkey")).join(F.broadcast(r), F.col("n_regionkey") == F.col("r_regionkey"))
     docs = docs.withColumn("kind", F.when(F.col("s_acctbal") < 0, "debt").otherwise("credit"))
-    tests = {"region": F.col("r_name").isin("ASIA", "EUROPE"), "kind": F.col("kind") == "credit", "worth": F.col("s_acctbal") >= 1000}
-    values = {"region": F.col("r_name"), "kind": F.col("kind"), "nation": F.col("n_name")}
-
-    def others(dimension):
-        out = F.lit(True)
-        for name, test in tests.items():
-            out = out if name == dimension else out & test
-        return out
-
-    rows = docs.select(F.explode(F.array(*[F.struct(F.lit(k).alias("dimension"), v.alias("value"), others(k).alias("ok")) for k, v in values.items()])).alias("x")).select("x.*")
-    return rows.groupBy("dimension", "value").agg(F.count_if("ok").alias("n"))
+    dimensions = [X.Dimension("region", "r_name"), X.Dimension("kind", "kind"), X.Dimension("nation", "n_name"), X.Dimension("worth", "s_acctbal", "atleast")]
+    return X.options(docs, dimensions, X.FilterState({"region": ["ASIA", "EUROPE"], "kind": "credit", "worth": 1000}), ["region", "kind", "nation"])
 
 
 @query(

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import narratives as N
 from ..operators import vocabulary as V
 from ..sources.readers import table, tables
 from ._registry import query
@@ -71,3 +72,20 @@ def rendered_links(spark, d):
 @query("SELECT event_id, citation_source_id, locator FROM events, (VALUES (4, 'p. 12'), (9, '')) w(citation_source_id, locator)")
 def attached_citations(spark, d):
     return V.with_citations(table(spark, d, "events").select("event_id"), [(4, "p. 12"), (9, "")])
+
+
+NOTICES = [N.Rule("license", "license"), N.Rule("mit license", "mit"), N.Rule("apache license", "apache"), N.Rule("public license", "public"), N.Rule("general public license", "gpl")]
+
+
+@query(
+    r"""WITH t AS (SELECT doc_id, lower(text) AS t FROM documents),
+n AS (SELECT doc_id, len(regexp_extract_all(t, '\bmit license\b')) AS mit, len(regexp_extract_all(t, '\bapache license\b')) AS apache, len(regexp_extract_all(t, '\bgeneral public license\b')) AS gpl,
+  len(regexp_extract_all(t, '\bpublic license\b')) AS public, len(regexp_extract_all(t, '\blicense\b')) AS every FROM t),
+u AS (SELECT doc_id, 'mit' AS slug, mit AS n FROM n UNION ALL SELECT doc_id, 'apache', apache FROM n UNION ALL SELECT doc_id, 'gpl', gpl FROM n UNION ALL SELECT doc_id, 'public', public - gpl FROM n UNION ALL SELECT doc_id, 'license', every - mit - apache - public FROM n)
+SELECT doc_id, slug, n FROM u WHERE n > 0 AND NOT (slug = 'license' AND EXISTS (SELECT 1 FROM u v WHERE v.doc_id = u.doc_id AND v.slug <> 'license' AND v.n > 0)) AND NOT (slug = 'public' AND EXISTS (SELECT 1 FROM u v WHERE v.doc_id = u.doc_id AND v.slug = 'gpl' AND v.n > 0))"""
+)
+def narrative_rules(spark, d):
+    """Licences that whole texts name: the special name wins where names overlap, and general ones give way where a special one is named."""
+    slugs = spark.createDataFrame([(r.slug,) for r in NOTICES], "slug string")
+    parents = spark.createDataFrame([(s, "license") for s in ("mit", "apache", "public", "gpl")] + [("gpl", "public")], "slug string, parent string")
+    return N.features(table(spark, d, "documents"), "doc_id", "text", NOTICES, slugs, parents).select("doc_id", "slug", "n")

@@ -90,9 +90,9 @@ def set_sync(desired: DataFrame, existing: DataFrame, keys: list[str]) -> DataFr
 
 def matched_titles(rows: DataFrame, existing: DataFrame) -> DataFrame:
     """Rows (external_id, slug, name) to existing titles (title_id, external_id, slug): by external id, else by slug. outcome is create,
-    update, rename, or conflict (the slug belongs to another title)."""
-    by_ext = existing.filter("external_id IS NOT NULL").select("external_id", F.col("title_id").alias("_ext"), F.col("slug").alias("_old"))
-    by_slug = existing.select("slug", F.col("title_id").alias("_slug"))
+    update, rename, or conflict (the slug belongs to another title). Of several titles of an external id or slug, the one with the least id counts."""
+    by_ext = existing.filter("external_id IS NOT NULL").groupBy("external_id").agg(F.min(F.struct("title_id", "slug")).alias("x")).select("external_id", F.col("x.title_id").alias("_ext"), F.col("x.slug").alias("_old"))
+    by_slug = existing.groupBy("slug").agg(F.min("title_id").alias("_slug"))
     both = rows.join(by_ext, "external_id", "left").join(by_slug, "slug", "left")
     outcome = (
         F.when(F.col("_ext").isNull() & F.col("_slug").isNull(), "create").when(F.col("_ext").isNull(), "update").when(F.col("_old") == F.col("slug"), "update").when(F.col("_slug").isNotNull(), "conflict").otherwise("rename")

@@ -47,7 +47,7 @@ def preview(label: Column, most: int = 30) -> Column:
 
 
 def rendered_links(rows: DataFrame, key: str, text: str, targets: DataFrame, numbered: tuple[str, ...] = (), broken: str = "[broken link]") -> DataFrame:
-    """(key, text, n_links): ``[[type:ref]]`` as ``[label](url)`` of its target (type, ref, label, url; one row a type and ref), or as its number
+    """(key, text, n_links): ``[[type:ref]]`` as ``[label](url)`` of its target (type, ref, label, url; of several the least label), or as its number
     among the row's links of the type, by first appearance, for the types in ``numbered``. Links that lead nowhere read ``broken``.
 
     ``key`` names one row. Texts without a link, and null ones, don't enter the join."""
@@ -56,7 +56,8 @@ def rendered_links(rows: DataFrame, key: str, text: str, targets: DataFrame, num
     each = cut.select(key, F.posexplode(F.array_distinct("links")).alias("place", "link"))
     each = each.withColumns({"type": F.regexp_extract("link", LINK, 1), "ref": F.regexp_extract("link", LINK, 2)})
     each = each.withColumn("n", F.row_number().over(W.partitionBy(key, "type").orderBy("place")))
-    found = each.join(targets.select("type", "ref", "label", "url", F.lit(True).alias("there")), ["type", "ref"], "left")
+    one = targets.groupBy("type", "ref").agg(F.min(F.struct("label", "url")).alias("t")).select("type", "ref", "t.label", "t.url", F.lit(True).alias("there"))
+    found = each.join(one, ["type", "ref"], "left")
     number = F.concat(F.lit("["), F.col("n").cast("string"), F.lit("]"))
     shown = F.when(F.col("there").isNull(), F.lit(broken)).when(F.col("type").isin(*numbered), number)
     shown = shown.otherwise(F.concat(F.lit("["), F.coalesce(preview(F.col("label")), F.lit("")), F.lit("]("), F.coalesce("url", F.lit("")), F.lit(")")))
