@@ -21,11 +21,23 @@ def shared_dir(spark: SparkSession) -> str:
     return conf.rstrip("/")
 
 
+#: Bytes of a batch that goes to a Python worker: a batch is held on both sides, by each task of an executor.
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back: cuts lineage, survives lost executors, never recomputed."""
+    """Write ``df`` as Parquet in the shared folder and read it back: cuts lineage, survives lost executors, never recomputed. Batches for Python
+    workers are kept small while it is written."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/attestry-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    key, most = _BATCH
+    before = spark.conf.get(key)
+    if spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(before) > most:
+        spark.conf.set(key, str(most))
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(key, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._attestry_path = path
     return out
