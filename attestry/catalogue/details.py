@@ -366,3 +366,33 @@ def cited_changesets(spark, d):
     got = H.cited(claims, citations)
     shown = F.transform("citations", lambda c: F.concat_ws(":", c["citation_source_id"].cast("string"), c["locator"]))
     return got.select("changeset_id", F.array_join("fields", ",").alias("fields"), F.array_join(shown, ",").alias("citations"))
+
+
+@query(
+    f"""WITH {EFFECTIVE_SQL}, l(id, slug, rank) AS (VALUES (1, 'cc-by', 6), (2, 'pd', 9)), w AS (SELECT * FROM ranked WHERE rn = 1),
+x AS (SELECT entity_id, 'signup=' || value AS e FROM w WHERE claim_key = 'signup' UNION ALL SELECT entity_id, 'error=' || value FROM w WHERE claim_key = 'error'
+  UNION ALL SELECT entity_id, 'error.__license=' || slug FROM w JOIN sources s USING (source_id) JOIN l ON l.id = s.license WHERE claim_key = 'error' UNION ALL SELECT entity_id, 'error.__permissiveness_rank=' || rank FROM w JOIN sources s USING (source_id) JOIN l ON l.id = s.license WHERE claim_key = 'error')
+SELECT entity_id, coalesce(string_agg(e, ',' ORDER BY e), '') AS extra FROM (SELECT DISTINCT entity_id FROM w) LEFT JOIN x USING (entity_id) GROUP BY 1"""
+)
+def licensed_extras(spark, d):
+    """Further claims of an entity as a map, with the licence of one of them beside it."""
+    spec = EntitySpec("user", (FieldSpec("click"), FieldSpec("view"), FieldSpec("purchase")), extra=True)
+    licenses = spark.createDataFrame([(1, "cc-by", 6), (2, "pd", 9)], "license_id int, slug string, rank int")
+    won = R.winners(effective(spark, d)).withColumn("license_id", F.lit(None).cast("int"))
+    won = R.effective_license(won, spark.createDataFrame([], "source_id bigint, field_name string, license_id int"), F.broadcast(sources(spark)))
+    out = R.with_field_licenses(R.wide(won, spec), won, licenses, ("error",))
+    text = F.array_join(F.array_sort(F.transform(F.map_entries("extra"), lambda e: F.concat_ws("=", e["key"], e["value"]))), ",")
+    return out.select("entity_id", text.alias("extra"))
+
+
+@query(
+    """WITH m AS (SELECT DISTINCT l_orderkey AS e, l_returnflag AS c, l_linenumber AS a FROM lineitem), x AS (SELECT *, a = min(a) OVER (PARTITION BY e, c) AS p FROM m), w AS (SELECT e, c, max(a) AS a FROM m GROUP BY ALL)
+SELECT x.e AS entity_id, 'media_attachment|category:' || c || '|media_asset:' || x.a AS claim_key, '{"category":"' || c || '","exists":true,"is_primary":' || (x.a = w.a) || ',"media_asset":' || x.a || '}' AS value FROM x JOIN w USING (e, c) WHERE p <> (x.a = w.a)"""
+)
+def primary_claims(spark, d):
+    """Claims that make the last asset of each order and category the primary one instead of the first."""
+    m = table(spark, d, "lineitem").select(F.lit("order").alias("entity_type"), F.col("l_orderkey").alias("entity_id"), F.col("l_returnflag").alias("category"), F.col("l_linenumber").alias("asset_id")).distinct()
+    group = ["entity_type", "entity_id", "category"]
+    ends = m.groupBy(*group).agg(F.min("asset_id").alias("_first"), F.max("asset_id").alias("_last"))
+    attached = m.join(ends, group).withColumn("is_primary", F.col("asset_id") == F.col("_first")).drop("_first", "_last")
+    return Z.primary_claims(attached, ends.select(*group, F.col("_last").alias("asset_id")))[0].select("entity_id", "claim_key", "value")

@@ -8,6 +8,7 @@ from pyspark.sql import Window as W
 from ..functions import display as D
 from ..operators import aggregates as A
 from ..operators import facets as X
+from ..operators import lists as I
 from ..sources.readers import table, tables
 from ._registry import query
 
@@ -68,7 +69,7 @@ def tree_children(spark, d):
     n, c = tables(spark, d, "nation", "customer")
     counts = c.groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(F.count(F.lit(1)).alias("customers"))
     rows = n.join(counts, "n_nationkey", "left").select("n_regionkey", "n_name", F.coalesce("customers", F.lit(0)).alias("customers"))
-    return rows.withColumn("place", F.row_number().over(W.partitionBy("n_regionkey").orderBy(F.desc("customers"), "n_name")))
+    return I.by_size(rows, ["n_regionkey"], "customers", "n_name")
 
 
 @query(
@@ -76,13 +77,13 @@ def tree_children(spark, d):
   row_number() OVER (PARTITION BY o_custkey ORDER BY CASE WHEN o_orderstatus <> 'P' THEN year(o_orderdate) END DESC NULLS LAST, o_orderkey) AS place FROM orders"""
 )
 def newest_year_first(spark, d):
-    o = table(spark, d, "orders").withColumn("year", F.when(F.col("o_orderstatus") != "P", F.year("o_orderdate")))
-    return o.select("o_custkey", "o_orderkey", "year", F.row_number().over(W.partitionBy("o_custkey").orderBy(F.desc_nulls_last("year"), "o_orderkey")).alias("place"))
+    o = table(spark, d, "orders").select("o_custkey", "o_orderkey", F.when(F.col("o_orderstatus") != "P", F.year("o_orderdate")).alias("year"))
+    return I.by_year(o, ["o_custkey"], "year", "o_orderkey")
 
 
 @query("SELECT event_id, user_id FROM events ORDER BY ts DESC, event_id DESC LIMIT 50")
 def recent_edits(spark, d):
-    return table(spark, d, "events").orderBy(F.desc("ts"), F.desc("event_id")).limit(50).select("event_id", "user_id")
+    return I.newest(table(spark, d, "events"), "ts", "event_id", 50).select("event_id", "user_id")
 
 
 @query("SELECT 'customer' AS origin, c_custkey AS id, c_name AS name FROM customer UNION ALL SELECT 'supplier', s_suppkey, s_name FROM supplier UNION ALL SELECT 'nation', n_nationkey, n_name FROM nation")
@@ -94,15 +95,13 @@ def labelled_union(spark, d):
 def touched_changesets(spark, d):
     """Changesets (days) that touch any entity of a set, set by set (customers of a nation)."""
     e, c = tables(spark, d, "events", "customer")
-    rows = e.select(F.col("user_id").alias("c_custkey"), F.to_date("ts").alias("day")).join(c.select("c_custkey", "c_nationkey"), "c_custkey")
-    return rows.groupBy("c_nationkey").agg(F.countDistinct("day").alias("changesets"))
+    return I.touching(e.select(F.col("user_id").alias("c_custkey"), F.to_date("ts").alias("day")), c, "c_custkey", "c_nationkey", "day")
 
 
 @query("SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY first) AS place FROM (SELECT user_id, event_type, min((ts, event_id)) AS first FROM events GROUP BY 1, 2)")
 def numbers_by_appearance(spark, d):
     """Each kind numbered by when it first appears in a user's list."""
-    first = table(spark, d, "events").groupBy("user_id", "event_type").agg(F.min(F.struct("ts", "event_id")).alias("first"))
-    return first.select("user_id", "event_type", F.row_number().over(W.partitionBy("user_id").orderBy("first")).alias("place"))
+    return I.numbered_by_appearance(table(spark, d, "events"), "user_id", "event_type", "ts", "event_id")
 
 
 @query(
@@ -113,9 +112,7 @@ def alias_states(spark, d):
     """Aliases by what is known of their parent: no key at all, parent missing, parent without a counterpart, fine."""
     c, s, p = tables(spark, d, "customer", "supplier", "part")
     rows = c.select("c_custkey", F.when(F.col("c_custkey") % 4 != 3, F.col("c_custkey") % 300).alias("parent"))
-    rows = rows.join(s.select(F.col("s_suppkey").alias("parent"), (F.col("s_suppkey") * 7).alias("counterpart")), "parent", "left").join(p.select(F.col("p_partkey").alias("counterpart"), F.lit(True).alias("there")), "counterpart", "left")
-    state = F.when(F.col("parent").isNull(), "fail").when(F.col("counterpart").isNull(), "orphan").when(F.col("there").isNull(), "unmatched").otherwise("ok")
-    return rows.select("c_custkey", state.alias("state"))
+    return I.alias_states(rows, "parent", s.withColumn("other", F.col("s_suppkey") * 7), "s_suppkey", "other", p, "p_partkey").select("c_custkey", "state")
 
 
 @query(
@@ -124,10 +121,9 @@ FROM customer JOIN supplier ON lower(replace(c_name, 'Customer', '')) = lower(re
 )
 def name_confidence(spark, d):
     c, s, o = tables(spark, d, "customer", "supplier", "orders")
-    busy = o.select(F.col("o_custkey").alias("c_custkey"), F.lit(True).alias("busy")).distinct()
-    names = s.select("s_suppkey", F.lower(F.replace("s_name", F.lit("Supplier"), F.lit(""))).alias("key"))
-    rows = c.withColumn("key", F.lower(F.replace("c_name", F.lit("Customer"), F.lit("")))).join(names, "key").join(busy, "c_custkey", "left")
-    return rows.select("c_custkey", "s_suppkey", F.when(F.col("busy"), 0.95).otherwise(0.85).alias("confidence"))
+    busy = o.select(F.col("o_custkey").alias("c_custkey"))
+    bare = [F.replace(n, F.lit(x), F.lit("")) for n, x in (("c_name", "Customer"), ("s_name", "Supplier"))]
+    return I.name_confidence(c, s, *bare, busy, "c_custkey").select("c_custkey", "s_suppkey", "confidence")
 
 
 @query(
@@ -149,9 +145,7 @@ def changed_fields(spark, d):
 )
 def single_base(spark, d):
     """The one base of its group: no variant itself, the only base, and no variants beside it."""
-    variant, w = F.col("o_orderstatus") == "F", W.partitionBy("o_custkey")
-    only = ~variant & (F.count_if(~variant).over(w) == 1) & (F.count_if(variant).over(w) == 0)
-    return table(spark, d, "orders").select("o_orderkey", only.alias("only_base"))
+    return I.only_base(table(spark, d, "orders"), "o_custkey", F.col("o_orderstatus") == "F").select("o_orderkey", "only_base")
 
 
 @query(

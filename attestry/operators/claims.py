@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..functions.values import garbled
 from ..plans.specs import EntitySpec, RelationshipSpec, violation
 from ._shared import stored
 
@@ -94,6 +95,12 @@ def validated(claims: DataFrame, entities: list[EntitySpec], relationships: list
     """Adds claim_class and reject_reason (null: valid)."""
     out = classified(claims, entities, relationships)
     reason = F.when(F.col("claim_class") == "unrecognized", "unrecognized field")
+    # only text beyond ASCII of fields that hold text can have been decoded wrongly
+    texts = [(e.name, f.name) for e in entities for f in e.fields if f.type == "string"]
+    if texts:
+        holds = F.struct("entity_type", "field_name").isin(*[F.struct(F.lit(e).alias("entity_type"), F.lit(f).alias("field_name")) for e, f in texts])
+        suspect = F.when(holds & (F.col("claim_class") == "direct") & F.col("value").rlike(r"[^\x00-\x7F]"), F.col("value"))
+        reason = F.coalesce(reason, F.when(garbled(suspect), "garbled"))
     for e in entities:
         for f in e.fields:
             here = (F.col("claim_class") == "direct") & (F.col("entity_type") == e.name) & (F.col("field_name") == f.name)

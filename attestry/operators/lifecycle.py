@@ -94,6 +94,19 @@ def media_claims(media: DataFrame, categories: list[str], attached: bool = True)
     return good, media.filter(~F.coalesce(known, F.lit(False)))
 
 
+def primary_claims(attached: DataFrame, chosen: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(claims, faults) that make the ``chosen`` assets (entity_type, entity_id, category, asset_id) primary: of their entity and category the chosen one says so and those that did say
+    so no longer do; what is as it should be is not said again. ``attached`` has is_primary. A fault is a chosen asset that isn't attached there; of several
+    for one category the least asset is taken."""
+    group = ["entity_type", "entity_id", "category"]
+    one = chosen.join(attached.select(*group, "asset_id"), [*group, "asset_id"], "left_semi").groupBy(*group).agg(F.min("asset_id").alias("_chosen"))
+    rows = attached.join(one, group).withColumn("_new", F.col("asset_id") == F.col("_chosen")).filter(F.col("_new") != F.coalesce("is_primary", F.lit(False)))
+    known = [r.category for r in rows.select("category").distinct().collect()]  # categories are a handful of words
+    claims, _ = media_claims(rows.withColumn("is_primary", F.col("_new")), known)
+    faults = chosen.join(attached, [*group, "asset_id"], "left_anti").select(*group, "asset_id", F.lit("not attached").alias("fault"))
+    return claims, faults
+
+
 def input_faults(given: DataFrame, row: str, value: str, vocabulary: DataFrame, by: str) -> DataFrame:
     """Lists given by hand: (row, value, fault) for values given twice, in whatever case, and values that the vocabulary lacks."""
     said = given.select(F.col(row).alias("_row"), F.lower(F.trim(value)).alias("_value"))

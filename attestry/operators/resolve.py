@@ -152,6 +152,18 @@ def displayable(rank: Column, least: int, unknown: int = 5) -> Column:
     return F.coalesce(rank, F.lit(unknown)) >= F.lit(least)
 
 
+def with_field_licenses(rows: DataFrame, won: DataFrame, licenses: DataFrame, fields: tuple[str, ...], extra: str = "extra") -> DataFrame:
+    """Rows whose map ``extra`` also tells the licence of some of its entries: ``<field>.__license`` and ``<field>.__permissiveness_rank`` of the winning claim's effective licence, so
+    that a page needs no claim to know whether it may show an image. ``won`` has effective_license_id, ``licenses`` license_id, slug, rank."""
+    kept = licenses.select(F.col("license_id").alias("effective_license_id"), F.col("slug").alias("_slug"), F.col("rank").cast("string").alias("_rank"))
+    told = won.filter(F.col("claim_key").isin(*fields)).join(kept, "effective_license_id")
+    parts = (("__license", "_slug"), ("__permissiveness_rank", "_rank"))
+    entries = F.array(*[F.struct(F.concat("claim_key", F.lit(f".{n}")).alias("key"), F.col(c).alias("value")) for n, c in parts])
+    per = told.select("entity_id", F.explode(entries).alias("e")).filter("e.value IS NOT NULL").groupBy("entity_id").agg(F.map_from_entries(F.sort_array(F.collect_list("e"))).alias("_more"))
+    none = F.expr("cast(map() AS map<string,string>)")
+    return rows.join(per, "entity_id", "left").withColumn(extra, F.map_concat(F.coalesce(extra, none), F.coalesce("_more", none))).drop("_more")
+
+
 def primary_media(media: DataFrame) -> DataFrame:
     """At most one primary an (entity, category): the highest priority of those claimed, else the oldest is promoted."""
     part = W.partitionBy("entity_type", "entity_id", "category")

@@ -243,3 +243,17 @@ def test_vocabulary_edges(spark):
     targets = spark.createDataFrame([("a", "1", "  a [b]  c ", "/u")], "type string, ref string, label string, url string")
     shown = {r["id"]: (r["text"], r["n_links"]) for r in V.rendered_links(texts, "id", "text", targets).collect()}
     assert shown == {1: (None, 0), 2: ("plain [[no link", 0), 3: ("[a b c](/u)[broken link] x [a b c](/u)", 3)}
+
+
+def test_garbled_claims_are_refused(spark):
+    rows = [(1, "name", "CafÃ©"), (2, "name", "Café"), (3, "name", "plain"), (4, "slug", "a"), (5, "name", "bad �"), (6, "year", "1980")]
+    claims = spark.createDataFrame([(i, "model", f, f, v) for i, f, v in rows], "claim_id int, entity_type string, field_name string, claim_key string, value string").withColumn("entity_id", F.lit(1))
+    assert {r["claim_id"]: r["reject_reason"] for r in C.validated(claims, [MODEL, MAKER], [CREDIT]).collect()} == {1: "garbled", 2: None, 3: None, 4: None, 5: "garbled", 6: None}
+
+
+def test_primary_faults(spark):
+    media = spark.createDataFrame([("m", 1, "front", 5, True), ("m", 1, "front", 6, None), ("m", 2, "front", 7, False)], "entity_type string, entity_id int, category string, asset_id int, is_primary boolean")
+    chosen = spark.createDataFrame([("m", 1, "front", 6), ("m", 2, "back", 7), ("m", 2, "front", 7)], "entity_type string, entity_id int, category string, asset_id int")
+    claims, faults = Z.primary_claims(media, chosen)
+    assert {(r.entity_id, "true" in r.value.split("is_primary")[1]) for r in claims.collect()} == {(1, True), (1, False), (2, True)} and claims.count() == 3
+    assert [(r.entity_id, r.category) for r in faults.collect()] == [(2, "back")]
