@@ -102,6 +102,19 @@ def retracted_claims(spark, d):
     return after.select("claim_id", "is_active", "retracted_by_changeset_id")
 
 
+@query(
+    """WITH a AS (SELECT DISTINCT l_orderkey AS e, l_suppkey AS s FROM lineitem WHERE l_shipdate < TIMESTAMP '1999-01-01'), p AS (SELECT DISTINCT l_orderkey AS e, l_suppkey AS s FROM lineitem WHERE l_quantity >= 25)
+SELECT e AS entity_id, 'supply|supplier:' || s AS claim_key FROM a WHERE e IN (SELECT e FROM p) AND (e, s) NOT IN (SELECT (e, s) FROM p)"""
+)
+def swept_relationships(spark, d):
+    """Suppliers of an order that its source no longer names; orders that it doesn't speak of keep theirs."""
+    li = table(spark, d, "lineitem")
+    key = F.concat(F.lit("supply|supplier:"), F.col("l_suppkey").cast("string"))
+    rows = li.select(F.lit("order").alias("entity_type"), F.col("l_orderkey").alias("entity_id"), F.lit("supply").alias("field_name"), key.alias("claim_key"), "l_shipdate", "l_quantity")
+    active = rows.filter(F.col("l_shipdate") < F.lit("1999-01-01").cast("timestamp_ntz")).drop("l_shipdate", "l_quantity").distinct()
+    return C.stale(active, rows.filter("l_quantity >= 25"), ["supply"]).select("entity_id", "claim_key")
+
+
 @query("SELECT p_partkey, 'p_brand' AS field_name, p_brand AS value FROM part UNION ALL SELECT p_partkey, 'p_size', p_size::VARCHAR FROM part UNION ALL SELECT p_partkey, 'name', p_name FROM part WHERE p_size > 10")
 def scalar_claims(spark, d):
     """Rows to claims, one a field that says something."""

@@ -90,6 +90,13 @@ def alias_skip(spark, d):
     return M.aliases(p, F.col("p_name"), "p_brand", "skip")
 
 
+@query("SELECT p_name || ' ' || p_size AS key, min(p_brand) AS p_brand FROM part GROUP BY 1 HAVING count(DISTINCT p_brand) = 1")
+def alias_skip_ambiguous(spark, d):
+    """As :func:`alias_skip`, with keys of which some lead to one value and some to several."""
+    p = table(spark, d, "part").withColumn("seq", F.col("p_partkey"))
+    return M.aliases(p, F.concat_ws(" ", "p_name", F.col("p_size").cast("string")), "p_brand", "skip")
+
+
 @query(
     """WITH t AS (SELECT DISTINCT replace(p_name, ' ', '-') AS b FROM part), used AS (SELECT b, 1 AS n FROM t WHERE length(b) % 2 = 0 UNION ALL SELECT b, 3 FROM t WHERE length(b) % 3 = 0),
 r AS (SELECT p_partkey, replace(p_name, ' ', '-') AS b, row_number() OVER (PARTITION BY p_name ORDER BY p_partkey) AS r FROM part),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import quality as Q
-from ..operators.resolve import winners
+from ..operators.resolve import related_any, winners
 from ..sources.readers import table, tables
 from ._registry import query
 from .claims import EFFECTIVE_SQL, effective, event_claims
@@ -174,3 +174,32 @@ def _golden(p, expected_parts):
     expected = chosen.unpivot("p_partkey", ["p_brand", "p_size"], "field", "value").withColumnRenamed("p_partkey", "k")
     expected = expected.unionByName(spark.createDataFrame([(-1, "p_brand", "Brand#1")], "k bigint, field string, value string"))
     return Q.golden(p.withColumnRenamed("p_partkey", "k"), "k", expected, ["p_brand", "p_size"]).select(F.col("subject").cast("string").alias("subject"), "detail")
+
+
+@query(
+    """SELECT DISTINCT 'warning' AS severity, 'credits_without_person' AS "check", l_suppkey::VARCHAR AS subject, 'no target for credit' AS detail FROM lineitem WHERE l_suppkey % 10 = 3
+UNION ALL SELECT DISTINCT 'warning', 'credits_without_role', l_returnflag, 'no target for credit' FROM lineitem WHERE l_returnflag NOT IN ('A', 'R')
+UNION ALL SELECT DISTINCT 'info', 'credits_without_claim', l_orderkey || ':' || l_suppkey || ':' || l_returnflag, 'no active claim' FROM lineitem WHERE (l_orderkey, l_suppkey, l_returnflag) NOT IN (SELECT (l_orderkey, l_suppkey, l_returnflag) FROM lineitem WHERE l_quantity >= 3)
+UNION ALL SELECT DISTINCT 'info', 'uncurated_orders', l_orderkey::VARCHAR, 'no curated credit' FROM lineitem WHERE l_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_suppkey % 4 = 1)"""
+)
+def dq_relationship_findings(spark, d):
+    """Checks of relationship claims by their JSON: persons and roles that there are not, credits that nobody claims, orders that the curating source says nothing of."""
+    li, s = tables(spark, d, "lineitem", "supplier")
+    value = F.to_json(F.struct((F.col("l_quantity") >= 3).alias("exists"), F.col("l_suppkey").alias("person"), F.col("l_returnflag").alias("role")))
+    key = F.concat_ws("|", F.lit("credit"), F.concat(F.lit("person:"), F.col("l_suppkey").cast("string")), F.concat(F.lit("role:"), F.col("l_returnflag")))
+    claims = li.select(F.col("l_orderkey").alias("entity_id"), F.lit("credit").alias("field_name"), key.alias("claim_key"), value.alias("value"), (F.col("l_suppkey") % 4).alias("source_id"), F.lit(True).alias("is_active"))
+    credits = li.select(F.col("l_orderkey").alias("entity_id"), F.col("l_suppkey").alias("person"), F.col("l_returnflag").alias("role"))
+    said = related_any(claims.withColumn("entity_type", F.lit("order")), "credit", {"person": "bigint", "role": "string"})
+    orders = li.select("l_orderkey").distinct()
+    person, role = F.get_json_object("value", "$.person"), F.get_json_object("value", "$.role")
+    parts = [
+        ("warning", "credits_without_person", Q.unresolved(claims, "credit", person, s.filter("s_suppkey % 10 <> 3").select(F.col("s_suppkey").cast("string").alias("k")), "k")),
+        ("warning", "credits_without_role", Q.unresolved(claims, "credit", role, li.filter("l_returnflag IN ('A', 'R')").select(F.col("l_returnflag").alias("k")).distinct(), "k")),
+        ("info", "credits_without_claim", Q.unclaimed(credits, ["entity_id", "person", "role"], said)),
+        ("info", "uncurated_orders", Q.uncurated(orders, "l_orderkey", claims, 1, "credit")),
+    ]
+    out = None
+    for severity, check, rows in parts:
+        found = Q.finding(rows, severity, check, F.col("subject"), F.col("detail"))
+        out = found if out is None else out.unionByName(found)
+    return out
