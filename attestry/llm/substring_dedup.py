@@ -12,7 +12,7 @@ A passage is a run of at least ``span`` words. The corpus is its own reference,
 
 Words are runs without separators (0x20, 0x09-0x0D), compared by 64-bit hashes. Windows are judged on the input, not on what is left.
 
-Defined cases: null text has no words; rows with null id are kept whole and are no reference; rows with equal ids don't count as earlier than
+Ids are integers (text that is no number is an error). Defined cases: null text has no words; rows with null id are kept whole and are no reference; rows with equal ids don't count as earlier than
 one another; texts shorter than ``span`` stay; an empty table gives an empty result; extra columns are not looked at.
 """
 
