@@ -90,17 +90,27 @@ def place_of(rows: DataFrame, places: DataFrame, city: str, state: str, country:
     return out.withColumn("location_path", F.when(named, F.coalesce("_town", "_any")).otherwise(F.coalesce("_state", "_country"))).drop("_country", "_state", "_town", "_any")
 
 
-def unique_slugs(rows: DataFrame, base: str, order: str, taken: DataFrame) -> DataFrame:
-    """Adds slug: the base, or base-2, base-3, ... where it is taken or given out before. ``taken`` has slug.
+def ranked(rows: DataFrame, by: str, order: list[str], name: str) -> DataFrame:
+    """``name``: place from 1 within each group, without one task for a large group: numbers over all rows, less the first one of the group."""
+    from .claims import numbered
+
+    placed = numbered(rows, [by, *order])
+    first = placed.groupBy(F.col(by).alias("_by")).agg(F.min("number").alias("_from"))
+    return placed.join(first, F.col(by) == F.col("_by")).withColumn(name, F.col("number") - F.col("_from") + 1).drop("number", "_by", "_from")
 
-    The numbers that are free within a base are counted off in order; only taken slugs of the same base are looked at."""
-    from pyspark.sql import Window as W
 
+def unique_slugs(rows: DataFrame, base: str, order: str, taken: DataFrame) -> DataFrame:
+    """Adds slug: the base, or base-2, base-3, ... where it is taken or given out before. ``taken`` has slug; bases are not null.
+
+    The r-th row of a base gets the r-th free number. With the used numbers of a base in order, the i-th of them, u, has u - i free ones below it; rows and used numbers are
+    sorted together by r and u - i (a row first), and the place of a row among them is its number. No group is gathered, however many rows a base has."""
     used = taken.select(F.regexp_replace("slug", "-[0-9]+$", "").alias("_b"), "slug").unionByName(taken.select(F.col("slug").alias("_b"), "slug")).distinct()
     number = F.when(F.col("slug") == F.col("_b"), 1).otherwise(F.regexp_extract(F.col("slug"), "-([0-9]+)$", 1).try_cast("int"))
-    used = used.withColumn("_used", number).filter("_used IS NOT NULL").groupBy("_b").agg(F.array_distinct(F.sort_array(F.collect_list("_used"))).alias("_used"))
-    ranked = rows.withColumn("_r", F.row_number().over(W.partitionBy(base).orderBy(order))).join(used, F.col(base) == F.col("_b"), "left").drop("_b")
-    # the r-th free number: every used number up to it moves it on by one
-    free = F.aggregate(F.coalesce("_used", F.array().cast("array<int>")), F.col("_r"), lambda n, u: F.when(u <= n, n + 1).otherwise(n))
-    slug = F.when(free == 1, F.col(base)).otherwise(F.concat_ws("-", F.col(base), free.cast("string")))
-    return ranked.withColumn("slug", slug).drop("_r", "_used")
+    used = used.withColumn("_u", number).filter("_u >= 1").select("_b", "_u").distinct().join(rows.select(F.col(base).alias("_b")).distinct(), "_b", "left_semi")
+    below = ranked(used, "_b", ["_u"], "_i").select("_b", (F.col("_u") - F.col("_i")).alias("_k"), F.lit(1).alias("_used"), F.lit(None).cast("bigint").alias("_row"))
+    placed = ranked(rows.withColumn("_id", F.monotonically_increasing_id()), base, [order, "_id"], "_r")
+    asking = placed.select(F.col(base).alias("_b"), F.col("_r").alias("_k"), F.lit(0).alias("_used"), F.col("_r").alias("_row"))
+    free = ranked(asking.unionByName(below), "_b", ["_k", "_used"], "_free").filter("_used = 0").select("_b", "_row", "_free")
+    out = placed.join(free, (F.col(base) == F.col("_b")) & (F.col("_r") == F.col("_row")))
+    slug = F.when(F.col("_free") == 1, F.col(base)).otherwise(F.concat_ws("-", F.col(base), F.col("_free").cast("string")))
+    return out.withColumn("slug", slug).drop("_id", "_r", "_b", "_row", "_free")

@@ -257,3 +257,24 @@ def test_primary_faults(spark):
     claims, faults = Z.primary_claims(media, chosen)
     assert {(r.entity_id, "true" in r.value.split("is_primary")[1]) for r in claims.collect()} == {(1, True), (1, False), (2, True)} and claims.count() == 3
     assert [(r.entity_id, r.category) for r in faults.collect()] == [(2, "back")]
+
+
+def test_slugs_take_the_free_numbers(spark):
+    """Random bases and taken slugs, one base with most of the rows, against counting up."""
+    import random
+
+    from attestry.operators import matching as M
+
+    rng = random.Random(3)
+    rows = [(i, rng.choice(["a", "a", "a", "b", "c-2", "d"])) for i in range(400)]
+    taken = {rng.choice(["a", "b", "c", "d", "e"]) + rng.choice(["", f"-{rng.randrange(300)}"]) for _ in range(300)} | {"c-2", "c-2-2", "d-0", "d-x"}
+    got = M.unique_slugs(spark.createDataFrame(rows, "id int, base string"), "base", "id", spark.createDataFrame([(t,) for t in taken], "slug string"))
+    have, want = set(taken), {}
+    for i, base in rows:
+        n = 1
+        while (base if n == 1 else f"{base}-{n}") in have:
+            n += 1
+        want[i] = base if n == 1 else f"{base}-{n}"
+        have.add(want[i])
+    assert {r.id: r.slug for r in got.collect()} == want and got.columns == ["id", "base", "slug"]
+    assert {r.slug for r in M.unique_slugs(spark.createDataFrame([(1, "x")], "id int, base string"), "base", "id", spark.createDataFrame([], "slug string")).collect()} == {"x"}
