@@ -10,12 +10,12 @@ from ..operators import payloads as P
 from ..sources.readers import tables
 from ._registry import query
 
-NOW = "2001-08-01"
+NOW = "2001-08-01 12:00:00"
 DAYS = 1000
 #: a payload is as old as the customer's latest filled order; customers without one have none yet
 _CACHE = """p AS (SELECT o_custkey AS id, max(o_orderdate) AS made_at, count(*) AS n FROM orders WHERE o_orderstatus = 'F' GROUP BY 1),
 hit AS (SELECT o_custkey AS id, max(l_shipdate) AS seen FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderstatus = 'F' AND l_returnflag = 'R' GROUP BY 1),
-s AS (SELECT p.*, CASE WHEN seen > made_at THEN 'changed' WHEN made_at <= TIMESTAMP '2001-08-01 00:00:00' - INTERVAL 1000 DAY THEN 'expired' END AS reason FROM p LEFT JOIN hit USING (id))"""
+s AS (SELECT p.*, CASE WHEN seen > made_at THEN 'changed' WHEN made_at <= TIMESTAMP '2001-08-01 12:00:00' - INTERVAL 1000 DAY THEN 'expired' END AS reason FROM p LEFT JOIN hit USING (id))"""
 
 
 def now():
