@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..operators import aggregates as A
 from ..operators import hierarchy as Y
+from ..operators._shared import parts_for
 from ..sources.readers import table, tables
 from ._registry import query
 
@@ -180,7 +181,9 @@ _BRANDS = "b AS (SELECT o_custkey AS c, o_orderkey AS o, p_brand AS brand, l_tax
 
 def bought(spark, d):
     o, li, p = tables(spark, d, "orders", "lineitem", "part")
-    rows = o.select("o_orderkey", "o_custkey").join(li.select("l_orderkey", "l_partkey", "l_tax"), F.col("o_orderkey") == F.col("l_orderkey")).join(p.select("p_partkey", "p_brand"), F.col("l_partkey") == F.col("p_partkey"))
+    n = parts_for(li)  # the joins are dealt over as many
+    rows = o.select("o_orderkey", "o_custkey").repartition(n, "o_orderkey").join(li.select("l_orderkey", "l_partkey", "l_tax"), F.col("o_orderkey") == F.col("l_orderkey"))
+    rows = rows.join(p.select("p_partkey", "p_brand").repartition(n, "p_partkey"), F.col("l_partkey") == F.col("p_partkey"))
     return rows.select(F.col("o_custkey").alias("c"), F.col("o_orderkey").alias("o"), F.col("p_brand").alias("brand"), F.col("l_tax").alias("tax"))
 
 
@@ -191,7 +194,7 @@ def common_set_intersection(spark, d):
 
 @query(f"WITH {_BRANDS}, n AS (SELECT c, count(DISTINCT o) AS n FROM b GROUP BY 1) SELECT c, brand, CASE WHEN count(DISTINCT tax) = 1 THEN min(tax) END AS tax FROM b JOIN n USING (c) GROUP BY c, brand, n HAVING count(DISTINCT o) = n")
 def common_with_payload(spark, d):
-    return A.shared_with_payload(bought(spark, d), "c", "o", "brand", "tax")
+    return A.shared_with_payload(bought(spark, d), "c", "o", "brand", "tax", parts=parts_for(table(spark, d, "lineitem")))
 
 
 @query("WITH s AS (SELECT l_orderkey, l_linestatus, list_sort(list(DISTINCT l_returnflag)) AS s FROM lineitem GROUP BY 1, 2) SELECT l_orderkey, array_to_string(min(s), ',') AS flags FROM s GROUP BY 1 HAVING min(s) = max(s)")

@@ -21,6 +21,15 @@ def shared_dir(spark: SparkSession) -> str:
     return conf.rstrip("/")
 
 
+#: rows of a table that a task of a join or an aggregate takes, so that its memory doesn't grow with the table
+ROWS_A_TASK = 500_000
+
+
+def parts_for(rows: DataFrame, each: int = 1) -> int:
+    """How many partitions ``rows`` should be dealt over if each gives ``each`` rows: at least as many as a shuffle has. Counts the rows: for tables as they are read."""
+    return max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() * each // ROWS_A_TASK))
+
+
 _made: ContextVar[list[DataFrame] | None] = ContextVar("made", default=None)
 
 

@@ -39,24 +39,52 @@ def counted(parents: DataFrame, children: DataFrame, key: str, **conditions: Col
     return parents.join(c, key, "left").fillna(0, list(conditions))
 
 
-def shared_by_all(rows: DataFrame, group: str, member: str, *values: str) -> DataFrame:
-    """Values that every member of a group has (members without any make it empty): counts instead of pairwise intersection."""
-    size = rows.groupBy(group).agg(F.countDistinct(member).alias("_size"))
-    has = rows.filter(F.col(values[0]).isNotNull()).groupBy(group, *values).agg(F.countDistinct(member).alias("_has"))
-    return has.join(size, group).filter("_has = _size").select(group, *values)
+def _by_member(rows: DataFrame, group: str, member: str, parts: int | None) -> DataFrame:
+    """Rows dealt by group and a share (``_share``) of its members, so that a task has whole members and no large group alone."""
+    n = parts or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.withColumn("_share", F.pmod(F.xxhash64(member), F.lit(64)).cast("int")).repartition(n, group, "_share")
 
 
-def shared_with_payload(rows: DataFrame, group: str, member: str, value: str, payload: str) -> DataFrame:
-    """As :func:`shared_by_all`, with the payload if all members agree on it."""
-    size = rows.groupBy(group).agg(F.countDistinct(member).alias("_size"))
-    has = rows.filter(F.col(value).isNotNull()).groupBy(group, value).agg(F.countDistinct(member).alias("_has"), agreed(F.col(payload)).alias(payload))
-    return has.join(size, group).filter("_has = _size").select(group, value, payload)
+def shared_by_all(rows: DataFrame, group: str, member: str, *values: str, parts: int | None = None) -> DataFrame:
+    """Values that every member of a group has (members without any make it empty): counts instead of pairwise intersection. Rows are dealt over ``parts``
+    partitions (:func:`parts_for`), by default as many as a shuffle has."""
+    return _shared(rows, group, member, values, None, parts)
 
 
-def identical_sets(rows: DataFrame, group: str, member: str, value: str) -> DataFrame:
+def shared_with_payload(rows: DataFrame, group: str, member: str, value: str, payload: str, parts: int | None = None) -> DataFrame:
+    """As :func:`shared_by_all`, with the payload if all members agree on it."""
+    return _shared(rows, group, member, (value,), payload, parts)
+
+
+def _shared(rows: DataFrame, group: str, member: str, values: tuple[str, ...], payload: str | None, parts: int | None) -> DataFrame:
+    """Rows are read once: each also counts for its group as a whole (``_all``), which gives the number of members. Shares of a group are counted first, then
+    added: no member is in two shares."""
+    kinds = {f.name: f.dataType for f in rows.schema}
+    said = F.struct(F.lit(False).alias("_all"), *values)
+    whole = F.struct(F.lit(True).alias("_all"), *[F.lit(None).cast(kinds[v]).alias(v) for v in values])
+    more = [payload] if payload else []
+    dealt = _by_member(rows.filter(F.col(group).isNotNull()).select(group, member, *values, *more), group, member, parts)
+    each = dealt.select(group, "_share", member, *more, F.inline(F.array(said, whole)))
+    keys = [group, "_all", *values]
+    first = [F.countDistinct(member).alias("_n")]
+    then = [F.sum("_n").alias("_n")]
+    if payload:
+        first += [F.count(payload).alias("_told"), F.count(F.lit(1)).alias("_rows"), F.min(payload).alias("_least"), F.max(payload).alias("_most")]
+        then += [F.sum("_told").alias("_told"), F.sum("_rows").alias("_rows"), F.min("_least").alias("_least"), F.max("_most").alias("_most")]
+    n = parts or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counts = each.groupBy("_share", *keys).agg(*first).repartition(n, group).groupBy(*keys).agg(*then)
+    size = F.max(F.when(F.col("_all"), F.col("_n"))).over(W.partitionBy(group))
+    found = counts.withColumn("_size", size).filter(~F.col("_all") & F.col(values[0]).isNotNull() & (F.col("_n") == F.col("_size")))
+    same = [F.when((F.col("_told") == F.col("_rows")) & (F.col("_least") == F.col("_most")), F.col("_least")).alias(payload)] if payload else []
+    return found.select(group, *values, *same)
+
+
+def identical_sets(rows: DataFrame, group: str, member: str, value: str, parts: int | None = None) -> DataFrame:
     """Groups whose members all have the same non-empty set, with it (sorted)."""
-    sets = rows.groupBy(group, member).agg(F.sort_array(F.collect_set(value)).alias("s"))
-    return sets.groupBy(group).agg(F.min("s").alias("a"), F.max("s").alias("z")).filter("a = z AND size(a) > 0").select(group, F.col("a").alias("values"))
+    n = parts or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sets = _by_member(rows.select(group, member, value), group, member, parts).groupBy(group, "_share", member).agg(F.sort_array(F.collect_set(value)).alias("s"))
+    ends = sets.groupBy(group, "_share").agg(F.min("s").alias("a"), F.max("s").alias("z")).repartition(n, group).groupBy(group).agg(F.min("a").alias("a"), F.max("z").alias("z"))
+    return ends.filter("a = z AND size(a) > 0").select(group, F.col("a").alias("values"))
 
 
 def ordered_structs(order: Column, *fields: Column) -> Column:
