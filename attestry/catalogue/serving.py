@@ -189,7 +189,7 @@ def bought(spark, d):
 
 @query(f"WITH {_BRANDS}, n AS (SELECT c, count(DISTINCT o) AS n FROM b GROUP BY 1) SELECT c, brand FROM b JOIN n USING (c) GROUP BY c, brand, n HAVING count(DISTINCT o) = n")
 def common_set_intersection(spark, d):
-    return A.shared_by_all(bought(spark, d), "c", "o", "brand")
+    return A.shared_by_all(bought(spark, d), "c", "o", "brand", parts=parts_for(table(spark, d, "lineitem")))
 
 
 @query(f"WITH {_BRANDS}, n AS (SELECT c, count(DISTINCT o) AS n FROM b GROUP BY 1) SELECT c, brand, CASE WHEN count(DISTINCT tax) = 1 THEN min(tax) END AS tax FROM b JOIN n USING (c) GROUP BY c, brand, n HAVING count(DISTINCT o) = n")
@@ -199,7 +199,7 @@ def common_with_payload(spark, d):
 
 @query("WITH s AS (SELECT l_orderkey, l_linestatus, list_sort(list(DISTINCT l_returnflag)) AS s FROM lineitem GROUP BY 1, 2) SELECT l_orderkey, array_to_string(min(s), ',') AS flags FROM s GROUP BY 1 HAVING min(s) = max(s)")
 def identical_sets(spark, d):
-    return A.identical_sets(table(spark, d, "lineitem"), "l_orderkey", "l_linestatus", "l_returnflag").select("l_orderkey", F.array_join("values", ",").alias("flags"))
+    return A.identical_sets(table(spark, d, "lineitem"), "l_orderkey", "l_linestatus", "l_returnflag", parts=parts_for(table(spark, d, "lineitem"))).select("l_orderkey", F.array_join("values", ",").alias("flags"))
 
 
 @query("SELECT event_id, ts FROM events WHERE (ts, event_id) < (TIMESTAMP '2024-01-20 00:00:00', 6000) ORDER BY ts DESC, event_id DESC LIMIT 51")
