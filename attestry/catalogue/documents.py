@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import documents as D
+from ..operators._shared import parts_for, stored
 from ..sources.readers import tables
 from ._registry import query
 
@@ -17,8 +18,9 @@ n AS (SELECT title_id, count(*) AS models, CASE WHEN count(flag) = count(*) AND
 
 def models(spark: SparkSession, d: str) -> DataFrame:
     li, p = tables(spark, d, "lineitem", "part")
-    one = li.groupBy("l_orderkey", "l_linenumber").agg(F.min(F.struct("l_partkey", "l_suppkey", "l_returnflag", "l_linestatus", "l_quantity")).alias("x")).select("l_orderkey", "l_linenumber", "x.*")
-    rows = one.join(p, F.col("l_partkey") == F.col("p_partkey"))
+    n = parts_for(li)
+    one = li.repartition(n, "l_orderkey", "l_linenumber").groupBy("l_orderkey", "l_linenumber").agg(F.min(F.struct("l_partkey", "l_suppkey", "l_returnflag", "l_linestatus", "l_quantity")).alias("x")).select("l_orderkey", "l_linenumber", "x.*")
+    rows = one.join(p.repartition(n, "p_partkey"), F.col("l_partkey") == F.col("p_partkey"))
     converted = F.when(F.col("l_quantity") > 40, (F.col("l_orderkey") + F.col("l_partkey") % 3 - 1) * 10 + 1)
     return rows.select(
         (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("model_id"), F.col("l_orderkey").alias("title_id"), F.col("l_returnflag").alias("flag"), F.col("l_linestatus").alias("status"), F.col("l_partkey").alias("part"), F.col("l_suppkey").alias("supp"),
@@ -38,12 +40,12 @@ FROM n LEFT JOIN t USING (title_id) LEFT JOIN f USING (title_id) LEFT JOIN i USI
 )
 def title_documents(spark, d):
     """Every title with what all of its models agree on and share, its links to other titles and its media."""
-    m = models(spark, d)
+    m = stored(models(spark, d), "models")  # every part of a document reads them
     tags = m.filter("size > 5").select("model_id", F.explode(F.array(F.concat(F.lit("s"), (F.col("size") % 2).cast("string")), F.col("type"))).alias("value"))
     features = m.select("model_id", F.concat(F.lit("w"), (F.col("size") % 2).cast("string")).alias("value"), (F.col("q") % 2).alias("count"))
     themes = m.select("model_id", F.explode(F.when(F.col("supp") % 4 < 2, F.array(F.lit("a"))).otherwise(F.array(F.lit("b"), F.lit("a")))).alias("value"))
     credits = m.select("model_id", (F.col("supp") % 3).alias("person"), F.col("flag").alias("role"))
-    out = D.title_documents(m, ["flag", "status"], {"tags": tags}, {"features": features}, {"themes": themes}, credits, {"converted from": "converted"}, m.select("model_id", F.col("part").alias("asset_id")))
+    out = D.title_documents(m, ["flag", "status"], {"tags": tags}, {"features": features}, {"themes": themes}, credits, {"converted from": "converted"}, m.select("model_id", F.col("part").alias("asset_id")), parts=parts_for(m))
 
     def text(column, item):
         return F.array_join(F.transform(column, item), ",").alias(column)

@@ -15,7 +15,8 @@ def _sorted(rows: DataFrame, group: str, item: Column, name: str) -> DataFrame:
 
 
 def title_documents(
-    models: DataFrame, specs: list[str], shared: dict[str, DataFrame], counted: dict[str, DataFrame], identical: dict[str, DataFrame], credits: DataFrame, links: dict[str, str], media: DataFrame | None = None
+    models: DataFrame, specs: list[str], shared: dict[str, DataFrame], counted: dict[str, DataFrame], identical: dict[str, DataFrame], credits: DataFrame, links: dict[str, str], media: DataFrame | None = None,
+    parts: int | None = None,
 ) -> DataFrame:
     """One row a title of ``models`` (model_id, title_id, specs, link columns):
 
@@ -26,21 +27,26 @@ def title_documents(
     * ``links`` (relation to a column of model ids): models of other titles that a model of this one comes from, as (relation, title_id, model_id);
     * ``media`` (model_id, asset_id): all models' assets, each once.
 
-    Arrays are sorted, empty where there is nothing. A title's models are not gathered; sets are found by counting."""
-    mine = models.select("model_id", "title_id")
-    out = models.groupBy("title_id").agg(F.count(F.lit(1)).alias("models"), *[A.agreed(F.col(c)).alias(c) for c in specs])
-    parts: list[tuple[str, DataFrame]] = []
+    Arrays are sorted, empty where there is nothing. A title's models are not gathered; sets are found by counting. Rows are dealt over ``parts`` partitions
+    (by default as many as a shuffle has) by model for the bridges, then by title once: all that is made of a title is where it is joined."""
+    n = parts or int(models.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    mine = models.select("model_id", "title_id").repartition(n, "model_id")
+    out = models.repartition(n, "title_id").groupBy("title_id").agg(F.count(F.lit(1)).alias("models"), *[A.agreed(F.col(c)).alias(c) for c in specs])
+    found: list[tuple[str, DataFrame]] = []
 
     def of(bridge: DataFrame) -> DataFrame:
         return mine.join(bridge, "model_id", "left")
 
+    def sets(rows: DataFrame, item: Column, name: str) -> None:
+        found.append((name, _sorted(rows.repartition(n, "title_id"), "title_id", item, name)))
+
     for name, bridge in shared.items():
-        parts.append((name, _sorted(A.shared_by_all(of(bridge), "title_id", "model_id", "value"), "title_id", F.col("value"), name)))
+        found.append((name, _sorted(A.shared_by_all(of(bridge), "title_id", "model_id", "value", parts=n), "title_id", F.col("value"), name)))
     for name, bridge in counted.items():
-        parts.append((name, _sorted(A.shared_with_payload(of(bridge), "title_id", "model_id", "value", "count"), "title_id", F.struct("value", "count"), name)))
+        found.append((name, _sorted(A.shared_with_payload(of(bridge), "title_id", "model_id", "value", "count", parts=n), "title_id", F.struct("value", "count"), name)))
     for name, bridge in identical.items():
-        parts.append((name, A.identical_sets(of(bridge), "title_id", "model_id", "value").withColumnRenamed("values", name)))
-    parts.append(("credits", _sorted(A.shared_by_all(of(credits), "title_id", "model_id", "person", "role"), "title_id", F.struct("person", "role"), "credits")))
+        found.append((name, A.identical_sets(of(bridge), "title_id", "model_id", "value", parts=n).withColumnRenamed("values", name)))
+    found.append(("credits", _sorted(A.shared_by_all(of(credits), "title_id", "model_id", "person", "role", parts=n), "title_id", F.struct("person", "role"), "credits")))
     theirs = mine.select(F.col("model_id").alias("_to"), F.col("title_id").alias("_other"))
     related = None
     for relation, column in links.items():
@@ -48,13 +54,13 @@ def title_documents(
         rows = rows.select("title_id", F.struct(F.lit(relation).alias("relation"), F.col("_other").alias("title_id"), "model_id").alias("link"))
         related = rows if related is None else related.unionByName(rows)
     if related is not None:
-        parts.append(("related", _sorted(related, "title_id", F.col("link"), "related")))
+        sets(related, F.col("link"), "related")
     if media is not None:
-        parts.append(("media", _sorted(mine.join(media, "model_id"), "title_id", F.col("asset_id"), "media")))
-    for _, part in parts:
+        sets(mine.join(media, "model_id"), F.col("asset_id"), "media")
+    for _, part in found:
         out = out.join(part, "title_id", "left")
     kinds = dict(out.dtypes)
-    return out.withColumns({n: F.coalesce(n, F.array().cast(kinds[n])) for n, _ in parts})
+    return out.withColumns({n: F.coalesce(n, F.array().cast(kinds[n])) for n, _ in found})
 
 
 def _thumbnail(models: DataFrame, by: str, *more: Column) -> DataFrame:
