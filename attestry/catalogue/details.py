@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import display as D
@@ -12,6 +13,7 @@ from ..operators import hierarchy as Y
 from ..operators import history as H
 from ..operators import lifecycle as Z
 from ..operators import resolve as R
+from ..operators._shared import parts_for, stored
 from ..plans.specs import EntitySpec, FieldSpec, RelationshipSpec
 from ..sources import sinks as S
 from ..sources.readers import table, tables
@@ -404,8 +406,10 @@ SELECT x.e AS entity_id, 'media_attachment|category:' || c || '|media_asset:' ||
 )
 def primary_claims(spark, d):
     """Claims that make the last asset of each order and category the primary one instead of the first."""
-    m = table(spark, d, "lineitem").select(F.lit("order").alias("entity_type"), F.col("l_orderkey").alias("entity_id"), F.col("l_returnflag").alias("category"), F.col("l_linenumber").alias("asset_id")).distinct()
+    li = table(spark, d, "lineitem")
+    m = li.select(F.lit("order").alias("entity_type"), F.col("l_orderkey").alias("entity_id"), F.col("l_returnflag").alias("category"), F.col("l_linenumber").alias("asset_id"))
+    m = m.repartition(parts_for(li), "entity_id").distinct()
     group = ["entity_type", "entity_id", "category"]
-    ends = m.groupBy(*group).agg(F.min("asset_id").alias("_first"), F.max("asset_id").alias("_last"))
-    attached = m.join(ends, group).withColumn("is_primary", F.col("asset_id") == F.col("_first")).drop("_first", "_last")
-    return Z.primary_claims(attached, ends.select(*group, F.col("_last").alias("asset_id")))[0].select("entity_id", "claim_key", "value")
+    first = F.min("asset_id").over(W.partitionBy(*group))
+    attached = stored(m.withColumn("is_primary", F.col("asset_id") == first), "attached")
+    return Z.primary_claims(attached, attached.groupBy(*group).agg(F.max("asset_id").alias("asset_id")))[0].select("entity_id", "claim_key", "value")

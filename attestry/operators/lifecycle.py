@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.names import collision_form
@@ -99,8 +100,10 @@ def primary_claims(attached: DataFrame, chosen: DataFrame) -> tuple[DataFrame, D
     so no longer do; what is as it should be is not said again. ``attached`` has is_primary. A fault is a chosen asset that isn't attached there; of several
     for one category the least asset is taken."""
     group = ["entity_type", "entity_id", "category"]
-    one = chosen.join(attached.select(*group, "asset_id"), [*group, "asset_id"], "left_semi").groupBy(*group).agg(F.min("asset_id").alias("_chosen"))
-    rows = attached.join(one, group).withColumn("_new", F.col("asset_id") == F.col("_chosen")).filter(F.col("_new") != F.coalesce("is_primary", F.lit(False)))
+    wanted = chosen.select(*group, "asset_id").distinct().withColumn("_wanted", F.lit(True))
+    least = F.min(F.when(F.col("_wanted"), F.col("asset_id"))).over(W.partitionBy(*group))
+    rows = attached.join(wanted, [*group, "asset_id"], "left").withColumn("_new", F.col("asset_id") == least).drop("_wanted").filter(F.col("_new") != F.coalesce("is_primary", F.lit(False)))
+    rows = stored(rows, "primary")  # the categories are asked for before the claims are made
     known = [r.category for r in rows.select("category").distinct().collect()]  # categories are a handful of words
     claims, _ = media_claims(rows.withColumn("is_primary", F.col("_new")), known)
     faults = chosen.join(attached, [*group, "asset_id"], "left_anti").select(*group, "asset_id", F.lit("not attached").alias("fault"))
