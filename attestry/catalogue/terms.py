@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import narratives as N
 from ..operators import vocabulary as V
+from ..operators._shared import parts_for
 from ..sources.readers import table, tables
 from ._registry import query
 
@@ -34,7 +35,7 @@ def _sorted(spark, d):
     word = lambda c: p.select(F.col(c).alias("term"), F.lower(c).alias("slug")).distinct()
     known = {"reward": word("p_type").filter("term LIKE 'E%'"), "feature": word("p_type").unionByName(word("p_name").filter("term LIKE '%widget'")), "cabinet": word("p_brand").filter("term LIKE 'Brand#1%'")}
     rows = p.select("p_partkey", F.array("p_type", F.upper("p_name"), "p_name", "p_brand", F.lit("Brand#1")).alias("terms"))
-    return V.sorted_terms(rows, "p_partkey", "terms", known, single=("cabinet",), ignored=("Brand#2",))
+    return V.sorted_terms(rows, "p_partkey", "terms", known, single=("cabinet",), ignored=("Brand#2",), parts=parts_for(p, each=5))
 
 
 @query(f"WITH {_TERMS} SELECT * FROM u")

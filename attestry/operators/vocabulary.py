@@ -20,17 +20,19 @@ def feature_parts(line: Column) -> Column:
     )
 
 
-def sorted_terms(rows: DataFrame, key: str, terms: str, vocabularies: dict[str, DataFrame], single: tuple[str, ...] = (), ignored: tuple[str, ...] = ()) -> DataFrame:
+def sorted_terms(rows: DataFrame, key: str, terms: str, vocabularies: dict[str, DataFrame], single: tuple[str, ...] = (), ignored: tuple[str, ...] = (), parts: int | None = None) -> DataFrame:
     """Each term of the array ``terms`` in the first vocabulary (term, slug) that knows it, whatever its case: (key, place, term, kind, slug).
 
     A slug comes once a row and kind, where it stands first; kinds in ``single`` keep their last term only. Unknown terms have null kind
-    and slug, but for those in ``ignored``. One join for all vocabularies: they are merged by term first, the earlier one winning."""
+    and slug, but for those in ``ignored``. One join for all vocabularies: they are merged by term first, the earlier one winning. Rows are dealt over ``parts`` partitions
+    (by default as many as a shuffle has) by key before they are spread over their terms."""
+    n = parts or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     merged = None
     for rank, (kind, words) in enumerate(vocabularies.items()):
         part = words.select(F.lower("term").alias("_term"), F.struct(F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), "slug").alias("known"))
         merged = part if merged is None else merged.unionByName(part)
     merged = merged.filter("_term IS NOT NULL").groupBy("_term").agg(F.min("known").alias("known"))
-    each = rows.select(key, F.posexplode(terms).alias("place", "term")).filter("term IS NOT NULL")
+    each = rows.select(key, terms).repartition(n, key).select(key, F.posexplode(terms).alias("place", "term")).filter("term IS NOT NULL")
     found = each.join(merged, F.lower("term") == F.col("_term"), "left").select(key, "place", "term", "known.kind", "known.slug")
     found = found.filter(F.col("kind").isNotNull() | ~F.col("term").isin(*ignored))
     last = F.coalesce(F.col("kind").isin(*single), F.lit(False))
