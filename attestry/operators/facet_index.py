@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ._shared import stored
 from .bitmaps import intersection, positions, sets, sizes, union
 from .facets import Dimension, FilterState
 
@@ -46,10 +47,9 @@ class FacetIndex:
         """Write the index of ``docs``, whose ``key`` is unique."""
         ids = positions(docs, key).withColumnRenamed("member", key)
         texts = sorted({c for d in self.dimensions if d.kind == "text" for c in d.columns})
-        rows = docs.join(ids, key)
+        rows = stored(docs.join(ids, key), "facets")  # every part of the index is made of them
         rows.select(F.col(key).alias("key"), "number", *[F.col(c).alias(f"text_{c}") for c in texts]).write.parquet(f"{self.root}/ids")
         numbers = self.spark.read.parquet(f"{self.root}/ids").select("key", "number")
-        rows = docs.join(numbers, F.col(key) == F.col("key")).drop("key")
         sets(numbers, []).write.parquet(f"{self.root}/all")
 
         def named(name: str):
