@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import quality as Q
+from ..operators._shared import stored
 from ..operators.resolve import related_any, winners
 from ..sources.readers import table, tables
 from ._registry import query
@@ -188,6 +189,7 @@ def dq_relationship_findings(spark, d):
     value = F.to_json(F.struct((F.col("l_quantity") >= 3).alias("exists"), F.col("l_suppkey").alias("person"), F.col("l_returnflag").alias("role")))
     key = F.concat_ws("|", F.lit("credit"), F.concat(F.lit("person:"), F.col("l_suppkey").cast("string")), F.concat(F.lit("role:"), F.col("l_returnflag")))
     claims = li.select(F.col("l_orderkey").alias("entity_id"), F.lit("credit").alias("field_name"), key.alias("claim_key"), value.alias("value"), (F.col("l_suppkey") % 4).alias("source_id"), F.lit(True).alias("is_active"))
+    claims = stored(claims, "claims")  # the checks read them, so that their JSON is written once
     credits = li.select(F.col("l_orderkey").alias("entity_id"), F.col("l_suppkey").alias("person"), F.col("l_returnflag").alias("role"))
     said = related_any(claims.withColumn("entity_type", F.lit("order")), "credit", {"person": "bigint", "role": "string"})
     orders = li.select("l_orderkey").distinct()

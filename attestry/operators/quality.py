@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ._shared import stored
 from .hierarchy import long_chains
 
 FINDING = ("severity", "check", "subject", "detail")
@@ -75,10 +76,12 @@ def orphaned(claims: DataFrame, entities: DataFrame) -> DataFrame:
 
 
 def unresolved(won: DataFrame, field: str, target: Column, targets: DataFrame, key: str) -> DataFrame:
-    """Targets that winning claims of a field name and that are not there, each once; ``target`` is the claim's value for a foreign key,
-    a key of its JSON for a relationship."""
+    """Targets that winning claims of a field name and that are not there, each once; ``target`` is made of the column ``value``: the claim's value for a foreign
+    key, a key of its JSON for a relationship. It is made once a value, as many claims say the same."""
     said = (F.col("claim_key") == field) | F.col("claim_key").startswith(f"{field}|")
-    named = won.filter(said).select(target.alias("subject")).filter("subject IS NOT NULL AND trim(cast(subject AS string)) <> ''").distinct()
+    # stored, as what is asked of the subject would else be asked of every claim
+    values = stored(won.filter(said).select("value").distinct(), "values")
+    named = values.select(target.alias("subject")).filter("subject IS NOT NULL AND trim(cast(subject AS string)) <> ''").distinct()
     missing = named.join(targets.select(F.col(key).alias("_t")), F.col("subject") == F.col("_t"), "left_anti")
     return missing.select("subject", F.lit(f"no target for {field}").alias("detail"))
 
