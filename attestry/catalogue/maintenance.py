@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import maintenance as M
+from ..operators._shared import stored
 from ..operators.resolve import winners
 from ..plans.specs import EntitySpec, FieldSpec
 from ..sources.readers import tables
@@ -37,8 +38,9 @@ def maintained(spark: SparkSession, d: str) -> dict[str, M.Changing]:
     later = later.unionByName(claims(n.filter("n_nationkey % 4 = 0"), "place", nation + 1000, 2, name=F.concat(F.lit("New "), F.col("n_name"))))
     later = later.unionByName(claims(c.filter("c_custkey % 10 = 0"), "customer", F.col("c_custkey"), 2, home=slug("n", (F.col("c_nationkey") + 1) % 25)))
     ids = {"place": first.filter("entity_type = 'place'").select("entity_id").distinct(), "customer": c.select(F.col("c_custkey").cast("bigint").alias("entity_id"))}
-    before = M.materialized(winners(first), [CUSTOMER, PLACE], DERIVED, ids)
-    return M.maintained(winners(first.unionByName(later)), [CUSTOMER, PLACE], DERIVED, later, before)
+    # what was materialized is a table, and winners are picked once, however many steps read them
+    before = {n: stored(t, "before") for n, t in M.materialized(stored(winners(first), "won"), [CUSTOMER, PLACE], DERIVED, ids).items()}
+    return M.maintained(stored(winners(first.unionByName(later)), "won"), [CUSTOMER, PLACE], DERIVED, later, before)
 
 
 _NOW = """n AS (SELECT n_nationkey AS k, CASE WHEN n_nationkey % 4 = 0 THEN 'New ' || n_name ELSE n_name END AS name, CASE WHEN n_nationkey % 3 = 0 THEN (n_regionkey + 1) % 5 ELSE n_regionkey END AS region FROM nation),
