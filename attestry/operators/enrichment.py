@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.names import last_name, slug
+from ._shared import stored
 from .claims import relationship_claim, unpivoted
 from .matching import unique_slugs
 
@@ -45,6 +46,7 @@ def judged_pages(pages: DataFrame, works: DataFrame, machines: DataFrame, person
     """Pages (title) of persons with person_id and outcome: ``no credits`` (no work names the page), ``matched``, ``near duplicate`` (who has a credit on one of the page's
     games shares its last word: near_id, the least), or ``create``. ``credits`` has machine_id and person_id as they stand."""
     named = works.select(F.lower(F.trim("person")).alias("_key"), F.lower(F.trim("title")).alias("_title")).distinct()
+    named = stored(named, "named")  # both who is named and who stands beside them are read from it
     known = by_name(persons, "_p", "person_id")
     rows = pages.withColumn("_key", F.lower(F.trim("title"))).join(known, F.col("_key") == F.col("_p"), "left").drop("_p")
     rows = rows.join(named.select("_key").distinct().withColumn("_named", F.lit(True)), "_key", "left")
@@ -60,7 +62,7 @@ def judged_pages(pages: DataFrame, works: DataFrame, machines: DataFrame, person
 
 def new_persons(judged: DataFrame, taken: DataFrame, order: str) -> DataFrame:
     """Rows of the pages to make, with a slug that nobody has (``taken``: slug)."""
-    new = judged.filter("outcome = 'create'").withColumn("_base", slug(F.col("title")))
+    new = stored(judged.filter("outcome = 'create'").withColumn("_base", slug(F.col("title"))), "new")  # slugs read them several times
     return unique_slugs(new, "_base", order, taken).drop("_base")
 
 
